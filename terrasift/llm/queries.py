@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, sentencepiece_codec, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,18 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op2_token_counts(spark, sf_dir):
+    import public_tokenizers
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+    return sentencepiece_codec.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -107,7 +107,10 @@ class Counter:
         self.inner = np.array([ids[shown[x]] for x in range(256)], np.int32)
         self.final = np.array([ids[shown[x] + "</w>"] for x in range(256)], np.int32)
         kinds = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for c in range(0x20000, 0x110000):  # planes that have grown since the tokenizer's tables
+            if (k := unicodedata.category(chr(c))[0]) in "LN":
+                kinds[c] = LETTER if k == "L" else NUMBER
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))
         for pattern, k in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
             for run in regex.findall(pattern, every):
                 kinds[[ord(ch) for ch in run]] = k

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sentencepiece_codec, token_counts
+from . import exact_dedup, mixing, ngram_join, sentencepiece_codec, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,12 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.similar_classes(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op6_ngram_join, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, sentencepiece_codec, token_counts
+from . import exact_dedup, language_id, mixing, ngram_join, quality, sentencepiece_codec, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,16 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.similar_classes(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark, sf_dir):
+    return language_id.identify_languages(_documents(spark, sf_dir))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.select_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op6_ngram_join, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op6_ngram_join, op7_quality, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, nearest, ngram_join, quality, sentencepiece_codec, token_counts
+from . import exact_dedup, language_id, licenses, mixing, nearest, ngram_join, quality, sentencepiece_codec, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +42,17 @@ def op7_quality(spark, sf_dir):
     return quality.select_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(_documents(spark, sf_dir).withColumn("path", licenses.document_path()))
+
+
 def op8_nearest(spark, sf_dir):
     return nearest.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op6_ngram_join, op7_quality, op8_nearest, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op5_license_scan, op6_ngram_join, op7_quality, op8_nearest, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_mix_sources": mixing.ORACLE, "op5_license_scan": licenses.oracle(), "op9_exact_dedup": exact_dedup.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, licenses, mixing, nearest, ngram_join, quality, sentencepiece_codec, token_counts
+from . import exact_dedup, language_id, licenses, mixing, nearest, ngram_join, quality, repeated_spans, sentencepiece_codec, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op1_repeated_spans(spark, sf_dir):
+    return repeated_spans.remove_repeats(_documents(spark, sf_dir))
+
+
 def op2_token_counts(spark, sf_dir):
     import public_tokenizers
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -51,7 +55,7 @@ def op8_nearest(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_language_id, op5_license_scan, op6_ngram_join, op7_quality, op8_nearest, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_repeated_spans, op2_token_counts, op3_mix_sources, op4_language_id, op5_license_scan, op6_ngram_join, op7_quality, op8_nearest, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,8 +54,13 @@ def op8_nearest(spark, sf_dir):
     return nearest.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repeated_spans, op2_token_counts, op3_mix_sources, op4_language_id, op5_license_scan, op6_ngram_join, op7_quality, op8_nearest, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_repeated_spans, op2_token_counts, op3_mix_sources, op4_language_id, op5_license_scan, op6_ngram_join, op7_quality, op8_nearest, op9_exact_dedup, op10_sentencepiece, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -219,9 +219,13 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
         .select("f1", "f2", "copies", F.col("least.doc_id").alias("node"), "least.size", "least.bands"), "nodes")
     keys = nodes.df.select("node", F.explode("bands").alias("key"))
     hubs = Table(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far").select("key", "hub"), "hubs")
-    meets = keys.join(hubs.df, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    # A node's hubs (BANDS at most) hang on the least of them: a few edges for a whole group, where nodes share their hubs.
+    met = keys.join(hubs.df, "key").where("node <> hub").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    met = Table(met.select("node", "hubs", F.array_min("hubs").alias("v")), "met")
+    meets = met.df.select(F.col("node").alias("u"), "v").union(met.df.select(F.explode("hubs").alias("u"), "v").where("u <> v").distinct())
     groups = Table(connected_components(meets), "groups")
     hubs.drop()
+    met.drop()
 
     member = nodes.df.select("node", "copies", "size").join(groups.df, "node")
     sizes = Table(

@@ -233,7 +233,8 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
         .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
     member = Table(member.join(sizes.df, "component"), "members")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = src.join(member.df.select("node", "copies", "component", "blocks"), src["doc_id"] == F.col("node"))
+    # The hint keeps the plan alike at all sizes: texts are dealt once, by id, and only members' go on.
+    dealt = src.join(member.df.select("node", "copies", "component", "blocks").hint("shuffle_hash"), src["doc_id"] == F.col("node"))
     dealt = (
         dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -275,4 +276,4 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
 def near_dedup(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id is their class's id, and those without an id; df's columns."""
     gone = saved(similar_classes(df, n, threshold, id_col, text_col).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return df.join(gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return df.join(gone.hint("shuffle_hash"), df[id_col].cast("long") == F.col("__gone"), "left_anti")

@@ -157,10 +157,10 @@ def kth_largest(df: DataFrame, key: str, k: int, few: int = 10_000) -> float:
 
 
 def select_quality(df: DataFrame, labels: DataFrame, seed: str = "quality", id_col: str = "doc_id", text_col: str = "text"):
-    """(table, ratio, least key). The table has a row for each row of df: doc_id, score, draw_key, selected.
+    """(table, ratio, least key). The table has a row for each row of df: doc_id, score, draw_key, kept.
 
     Null and empty texts score 0. Rows with one id share the noise; rows tied at the k-th key are
-    all selected. Null ids share the noise of 'null'. Without good and bad labels all are selected.
+    all kept. Null ids share the noise of 'null'. Without good and bad labels all are kept.
     """
     ratio, sample = fit(df, labels, id_col, text_col)
     score = scorer(ratio)
@@ -169,11 +169,11 @@ def select_quality(df: DataFrame, labels: DataFrame, seed: str = "quality", id_c
     cut = best_cut(scored, sample)
     k = scored.where(F.col("score") >= cut).count() if cut > float("-inf") else None
     least = float("-inf") if k is None else kth_largest(scored, "draw_key", k)
-    return scored.withColumn("selected", F.col("draw_key") >= F.lit(least)), ratio, least
+    return scored.withColumn("kept", F.col("draw_key") >= F.lit(least)), ratio, least
 
 
 def quality_filter(df: DataFrame, labels: DataFrame, seed: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows that are selected, with df's columns. Scores are computed again on the way, which is cheaper than joining texts."""
+    """df's rows that are kept, with df's columns. Scores are computed again on the way, which is cheaper than joining texts."""
     _, ratio, least = select_quality(df, labels, seed, id_col, text_col)
     s = free_name(df, "score")
     out = df.withColumn(s, scorer(ratio)(F.col(text_col).cast("string")))

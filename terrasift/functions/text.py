@@ -175,5 +175,5 @@ def in_scope(url: Column, tld: str) -> Column:
     return url.contains(tld)
 
 
-def pdf_in_scope(url: Column, tld: str, host: str = "nyu.edu") -> Column:
+def pdf_in_scope(url: Column, tld: str, host: str) -> Column:
     return url.contains(tld) & url.contains(".pdf") & url.contains(host)

@@ -91,12 +91,14 @@ def county_population(geo: DataFrame) -> DataFrame:
     return geo.where("type = 'CITY' and county_id is not null").groupBy("county_id").agg(F.sum("population").alias("population"))
 
 
-def expand(candidates: DataFrame, geo: DataFrame, near: DataFrame, most: int = 10) -> DataFrame:
+def expand(candidates: DataFrame, geo: DataFrame, near: DataFrame | None, most: int = 10) -> DataFrame:
     """candidates (query, id) to (query, kind, rank, id): for a city its county and nearest `most`
     neighbours; for a county its largest cities; for a state its most populous counties and cities."""
     c = candidates.join(geo, "id").select("query", F.col("id").alias("cid"), "type", F.col("county_id").alias("c_county"))
     cities = geo.where("type = 'CITY'")
     by_pop = lambda *k: Window.partitionBy(*k).orderBy(F.desc("population"), "id")
+    if near is None:
+        near = geo.sparkSession.createDataFrame([], "id long, near_id long, rank int")
     nearby = c.where("type = 'CITY'").join(near, c["cid"] == near["id"]).where(F.col("rank") <= most).select("query", F.lit("near").alias("kind"), F.col("rank").cast("int"), F.col("near_id").alias("id"))
     county = c.where("type = 'CITY' and c_county is not null").select("query", F.lit("county").alias("kind"), F.lit(1).alias("rank"), F.col("c_county").alias("id"))
     pops = geo.where("type = 'COUNTY'").join(county_population(geo).withColumnRenamed("population", "pop"), "county_id", "left").select("id", "state_id", F.coalesce("pop", F.lit(0)).alias("population"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrasift.functions import text as T
 
-TABLES = ("docs", "occurrences", "postings", "terms", "stats")
+TABLES = ("docs", "occurrences", "frequencies", "postings", "terms", "stats")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
 class Index:
     docs: DataFrame         # doc_id, title, url, num_words, page_rank, num_views
     occurrences: DataFrame  # term, doc_id, pos
+    frequencies: DataFrame  # term, doc_id, tf
     postings: DataFrame     # term, doc_id, tf, positions
     terms: DataFrame        # term, df, ctf
     stats: DataFrame        # one row: n_docs, total_words, avg_words, vocabulary
@@ -29,7 +31,7 @@ class Index:
         """Parquet tables; postings are clustered by term, so that lookups prune row groups."""
         for name in TABLES:
             df = getattr(self, name)
-            if name in ("postings", "occurrences"):
+            if name in ("postings", "occurrences", "frequencies"):
                 df = df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -38,8 +40,16 @@ class Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
 
     def cached(self) -> Index:
-        self.occurrences, self.docs = self.occurrences.cache(), self.docs.cache()
-        return self
+        """The tables that searches read, in memory and in term order, so that a lookup skips
+        whole batches by their least and greatest term; what is derived follows from them."""
+        docs = self.docs.cache()
+        occurrences = self.occurrences.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").cache()
+        out = derive(docs, occurrences)
+        return derive(docs, occurrences, out.frequencies.cache())
+
+    @cached_property
+    def n_docs(self) -> int:
+        return self.stats.first()["n_docs"]
 
 
 def build_index(source: DataFrame, stop: list[str] = T.STOP_WORDS) -> Index:
@@ -56,9 +66,10 @@ def build_index(source: DataFrame, stop: list[str] = T.STOP_WORDS) -> Index:
     return derive(docs, occurrences)
 
 
-def derive(docs: DataFrame, occurrences: DataFrame) -> Index:
+def derive(docs: DataFrame, occurrences: DataFrame, frequencies: DataFrame | None = None) -> Index:
+    if frequencies is None:
+        frequencies = occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     postings = occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    per_doc = occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    terms = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+    terms = frequencies.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("num_words"), F.lit(0)).alias("total_words"), F.avg("num_words").alias("avg_words"))
-    return Index(docs, occurrences, postings, terms, stats)
+    return Index(docs, occurrences, frequencies, postings, terms, stats)

@@ -12,6 +12,8 @@ from .index import Index
 
 #: Query tables up to this many words are broadcast (they are counted first); larger ones shuffle.
 BROADCAST_WORDS = 100_000
+#: Up to this many distinct words are also listed in a filter on the index.
+LISTED_WORDS = 1000
 
 
 def query_frame(spark: SparkSession, queries: list[tuple]) -> DataFrame:
@@ -27,11 +29,20 @@ def token_hits(index: Index, queries: DataFrame, stop: list[str] | None = None)
     if stop is not None:
         words = words.withColumn("w", F.filter("w", lambda x: ~x.isin(stop)))
     words = words.select("sub_id", "ord", "token", F.size("w").alias("n_words"), F.posexplode("w").alias("j", "term"))
-    small = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    hits = index.occurrences.join(F.broadcast(words) if small else words, "term")
-    # Each occurrence votes for the phrase start that it fits; a start with all votes is an occurrence of the token.
+    asked = [r[0] for r in words.select("term").distinct().limit(LISTED_WORDS + 1).collect()]
+    singles, phrases = index.frequencies, index.occurrences
+    if len(asked) <= LISTED_WORDS:  # a filter that prunes the index's batches and row groups
+        singles, phrases = singles.where(F.col("term").isin(asked)), phrases.where(F.col("term").isin(asked))
+        small = words.count() <= BROADCAST_WORDS
+    else:
+        small = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    pick = (lambda w: F.broadcast(w)) if small else (lambda w: w)
+    one = singles.join(pick(words.where("n_words = 1")), "term").select("sub_id", "ord", "token", "n_words", "doc_id", "tf")
+    # Each occurrence votes for the phrase start that it fits; a start with all votes is an occurrence of the phrase.
+    hits = phrases.join(pick(words.where("n_words > 1")), "term")
     starts = hits.groupBy("sub_id", "ord", "token", "n_words", "doc_id", (F.col("pos") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("votes"))
-    return starts.where("votes = n_words").groupBy("sub_id", "ord", "token", "n_words", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    many = starts.where("votes = n_words").groupBy("sub_id", "ord", "token", "n_words", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    return one.unionByName(many)
 
 
 def conjunctive(hits: DataFrame, queries: DataFrame) -> DataFrame:

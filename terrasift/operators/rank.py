@@ -18,7 +18,7 @@ def score(index: Index, queries: DataFrame, scorer: str = "bm25", boosts: DataFr
     hits = token_hits(index, queries)
     df = frequencies(hits).select("sub_id", "ord", "df")
     rows = conjunctive(hits, queries).join(df, ["sub_id", "ord"])
-    n_docs = index.stats.first()["n_docs"]
+    n_docs = index.n_docs
     rows = rows.join(index.docs.select("doc_id", "title", "num_words"), "doc_id")
     rows = rows.join(boosts, "token", "left").withColumn("boost", F.coalesce("boost", F.lit(1.0))) if boosts is not None else rows.withColumn("boost", F.lit(1.0))
     cols = {c: F.col(c) for c in ("tf", "num_words", "n_tokens", "title", "token", "boost")}

@@ -306,7 +306,7 @@ def geo_neighbor_lines(spark, sf):
 def _expand(kind):
     def run(spark, sf):
         g = O.gazetteer(spark, sf)
-        return G.expand(g.where(F.col("type") == kind).select(F.col("id").alias("query"), "id"), g, _near(spark, sf))
+        return G.expand(g.where(F.col("type") == kind).select(F.col("id").alias("query"), "id"), g, _near(spark, sf) if kind == "CITY" else None)
     return run
 
 
@@ -369,7 +369,7 @@ def _strength(spark, sf, subs):
 def expansion_qualify(spark, sf):
     g = O.gazetteer(spark, sf)
     states = g.where("type = 'STATE'")
-    em = G.expand(states.select(F.col("id").alias("query"), "id"), g, _near(spark, sf)).join(g, "id").select("query", "id", "name", "type", "population", "state_name")
+    em = G.expand(states.select(F.col("id").alias("query"), "id"), g, None).join(g, "id").select("query", "id", "name", "type", "population", "state_name")
     small = (F.col("type") == "CITY") & (F.col("population") <= G.BIG_CITY)
     tokens = F.when(small, F.array(F.lit("er"), "name", "state_name")).otherwise(F.array(F.lit("er"), F.col("name")))
     subs = em.select(F.concat_ws("/", F.col("query").cast("string"), F.col("id").cast("string")).alias("sub_id"), F.posexplode(tokens).alias("ord", "token"))

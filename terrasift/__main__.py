@@ -1,4 +1,4 @@
-"""python -m terrasift --options FILE --mode mining|index|load_places|search [--query Q] …"""
+"""python -m terrasift --options FILE --mode mining|index|load_places|search|serve …"""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from .sources import readers
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="terrasift")
     p.add_argument("--options", required=True)
-    p.add_argument("--mode", required=True, choices=["mining", "index", "load_places", "search"])
+    p.add_argument("--mode", required=True, choices=["mining", "index", "load_places", "search", "serve"])
+    p.add_argument("--port", type=int, default=25804)
     p.add_argument("--request", default="", help="query=…&numdocs=…&ranker=…&format=text|html&place=…&best=…&uname=…")
     p.add_argument("--cities")
     p.add_argument("--counties")
@@ -34,8 +35,11 @@ def main(argv: list[str] | None = None) -> None:
     elif a.mode == "index":
         Engine.index(readers.html_corpus(spark, o["corpus_prefix"]), geo, near, o["index_prefix"])
     else:
-        r = readers.parse_request(a.request)
         e = Engine.load(spark, o["index_prefix"], geo, near)
+        if a.mode == "serve":
+            from .server import make_server
+            make_server(e, a.port).serve_forever()
+        r = readers.parse_request(a.request)
         answer = e.search(r["query"], r["numdocs"], r["ranker"], r["place"], r["best"], r["uname"])
         if r["format"] == "html":
             print(e.html(answer))

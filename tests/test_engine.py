@@ -150,3 +150,44 @@ def test_empty_corpus(spark):
     q = M.query_frame(spark, [(0, ["a"])])
     assert R.top_k(R.score(ix, q), 3).count() == 0
     assert ix.stats.select(F.col("n_docs")).first()[0] == 0
+
+
+def test_page_rank_blend(spark, engine):
+    from dataclasses import replace
+    ix = replace(engine.index, docs=engine.index.docs.withColumn("page_rank", F.when(F.col("doc_id") == 3, 9.0).otherwise(0.0)))
+    q = M.query_frame(spark, [(0, ["zoo"])])
+    plain = {r.doc_id: r.score for r in R.score(ix, q).collect()}
+    mixed = {r.doc_id: r.score for r in R.score(ix, q, blend_page_rank=True).collect()}
+    assert abs(mixed[3] - 10 * plain[3]) < 1e-9 and mixed[1] == plain[1]
+    assert R.by_page_rank(ix, q, 1).first().doc_id == 3
+
+
+def test_crawler():
+    from terrasift.operators.crawl import Crawler
+    web = {"http://a.x/": '<a href="/b"> <a href="/c#z"> <a href="http://other.y/">', "http://a.x/b": '<a href="/">', "http://a.x/c": ""}
+
+    def fetch(url):
+        if url not in web:
+            raise OSError(url)
+        return web[url]
+
+    for order in ("fifo", "random"):
+        c = Crawler(fetch, "a.x", order)
+        assert {u for u, _ in c.run(["http://a.x/", "ftp://a.x/"])} == set(web)
+        assert c.visits["http://a.x/"] == 2 and len(c) == 0
+
+
+def test_server(engine):
+    import threading
+    from urllib.request import urlopen
+
+    from terrasift.server import make_server
+    s = make_server(engine, 0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{s.server_address[1]}"
+    lines = urlopen(f"{base}/search?query=zoo+ohio&numdocs=5").read().decode().splitlines()
+    assert {x.split("\t")[0] for x in lines} == {"1", "3"}
+    assert "<html>" in urlopen(f"{base}/search?query=zoo&format=html").read().decode()
+    assert "zoo" in urlopen(f"{base}/prf?query=zoo").read().decode()
+    assert urlopen(f"{base}/other").read().decode() == "Only /search is handled!"
+    s.shutdown()

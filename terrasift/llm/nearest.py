@@ -167,8 +167,10 @@ def nearest_neighbours(df: DataFrame, k: int = 5, every: int = 50, id_col: str =
         cols["graph"] = pa.array([b"".join(f.astype("<i4").tobytes() for f in g.flat)], pa.binary())
         return pa.table(cols)
 
+    # Dealt by number: few bytes, but much work each, so adaptive execution should not put shards together.
+    parts = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     index = Table(
-        rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard")
+        rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(parts, "dim", "shard").groupBy("dim", "shard")
         .applyInArrow(build, "shard int, dim int, ids binary, counts binary, vectors binary, levels binary, graph binary"), "graphs").df
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -206,6 +208,8 @@ def nearest_neighbours(df: DataFrame, k: int = 5, every: int = 50, id_col: str =
 
     asked = asked.dropDuplicates(["vec_id", "v"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = max(shards * blocks, parts)
+    asked, spread = (d.repartition(parts, "dim", "shard", "block") for d in (asked, spread))
     found = asked.groupBy("dim", "shard", "block").cogroup(spread.groupBy("dim", "shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

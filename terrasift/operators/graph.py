@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from terrasift.functions import text as T
+from terrasift.sources.store import stored
 
 
 def page_edges(pages: DataFrame, pattern: str = T.STRICT_LINK, corpus: DataFrame | None = None) -> DataFrame:
@@ -71,15 +70,5 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
         rank = v.join(got, v["v"] == got["dst"], "left").select(
             "v", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if (i + 1) % 5 == 0:
-            rank = cut_lineage(rank)
+            rank = stored(rank, "rank")
     return rank
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
-    path = f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)

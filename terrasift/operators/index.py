@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrasift.functions import text as T
+from terrasift.sources.store import stored
 
 TABLES = ("docs", "occurrences", "frequencies", "postings", "terms", "stats")
 
@@ -39,13 +40,14 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
 
-    def cached(self) -> Index:
-        """The tables that searches read, in memory and in term order, so that a lookup skips
-        whole batches by their least and greatest term; what is derived follows from them."""
-        docs = self.docs.cache()
-        occurrences = self.occurrences.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").cache()
-        out = derive(docs, occurrences)
-        return derive(docs, occurrences, out.frequencies.cache())
+    def stored(self) -> Index:
+        """The tables that searches read, written to the shared folder in term order, so that a lookup
+        skips row groups (and cached batches) by their least and greatest term. The rest is derived."""
+        by_term = lambda df: df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        docs = stored(self.docs, "docs").cache()
+        occurrences = stored(by_term(self.occurrences), "occurrences").cache()
+        frequencies = stored(occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions("term", "doc_id"), "frequencies").cache()
+        return derive(docs, occurrences, frequencies)
 
     @cached_property
     def n_docs(self) -> int:

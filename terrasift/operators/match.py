@@ -6,6 +6,8 @@ positions, and a document matches if it holds every token.
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .index import Index
@@ -13,7 +15,17 @@ from .index import Index
 #: Query tables up to this many words are broadcast (they are counted first); larger ones shuffle.
 BROADCAST_WORDS = 100_000
 #: Up to this many distinct words are also listed in a filter on the index.
-LISTED_WORDS = 1000
+LISTED_WORDS = 64
+#: Looked-up tokens are cached while a query reads them several times; beyond so many, the oldest are given up (and made again if still read).
+KEPT_LOOKUPS = 8
+_lookups: deque[DataFrame] = deque()
+
+
+def _kept(hits: DataFrame) -> DataFrame:
+    _lookups.append(hits.cache())
+    while len(_lookups) > KEPT_LOOKUPS:
+        _lookups.popleft().unpersist()
+    return hits
 
 
 def query_frame(spark: SparkSession, queries: list[tuple]) -> DataFrame:
@@ -45,12 +57,25 @@ def token_hits(index: Index, queries: DataFrame, stop: list[str] | None = None)
     return one.unionByName(many)
 
 
-def conjunctive(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """The hits in documents that hold all of their query's tokens, with n_tokens."""
+def candidates(index: Index, queries: DataFrame) -> DataFrame:
+    """(sub_id, doc_id, n_tokens, ord, token, n_words, tf, df) for the documents of each query's
+    rarest token: a document matches if it has a row for each of the n_tokens tokens. Distinct
+    tokens are looked up once, however many queries share them; a query with an unknown token has no rows."""
+    distinct = queries.select("token").distinct().select(F.lit(0).alias("sub_id"), F.lit(0).alias("ord"), "token")
+    hits = _kept(token_hits(index, distinct).select("token", "n_words", "doc_id", "tf"))
+    known = queries.join(hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
     size = queries.groupBy("sub_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    full = hits.groupBy("sub_id", "doc_id").agg(F.collect_list(F.struct("ord", "token", "n_words", "tf")).alias("t"))
-    full = full.join(size, "sub_id").where(F.size("t") == F.col("n_tokens"))
-    return full.select("sub_id", "doc_id", "n_tokens", F.explode("t").alias("t")).select("sub_id", "doc_id", "n_tokens", "t.*")
+    rarest = known.groupBy("sub_id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("df", "ord", "token")).alias("r")).join(size, "sub_id")
+    rarest = rarest.where("k = n_tokens").select("sub_id", "n_tokens", F.col("r.token").alias("token"))
+    docs = hits.select("token", "doc_id").join(rarest, "token").select("sub_id", "n_tokens", "doc_id")
+    wanted = docs.join(known.select("sub_id", "ord", "token", "df"), "sub_id")
+    return wanted.join(hits, ["token", "doc_id"]).select("sub_id", "doc_id", "n_tokens", "ord", "token", "n_words", "tf", "df")
+
+
+def matches(index: Index, queries: DataFrame) -> DataFrame:
+    """(sub_id, doc_id) of the documents that hold all of a query's tokens."""
+    rows = candidates(index, queries).groupBy("sub_id", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.first("n_tokens").alias("n"))
+    return rows.where("k = n").select("sub_id", "doc_id")
 
 
 def frequencies(hits: DataFrame) -> DataFrame:

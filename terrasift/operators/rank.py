@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from terrasift.functions.scoring import SCORERS, document_factor
 
 from .index import Index
-from .match import conjunctive, frequencies, token_hits
+from .match import candidates, matches
 
 ROUND = 6
 
@@ -15,19 +15,17 @@ ROUND = 6
 def score(index: Index, queries: DataFrame, scorer: str = "bm25", boosts: DataFrame | None = None, df_offset: int = 1, blend_page_rank: bool = False) -> DataFrame:
     """(sub_id, doc_id, score) of all matches. df_offset is added to the document frequency of
     single words (the dictionary that this reproduces starts counting at one). boosts: (token, boost). blend_page_rank multiplies by 1 + page rank."""
-    hits = token_hits(index, queries)
-    df = frequencies(hits).select("sub_id", "ord", "df")
-    rows = conjunctive(hits, queries).join(df, ["sub_id", "ord"])
     n_docs = index.n_docs
-    rows = rows.join(index.docs.select("doc_id", "title", "num_words", "page_rank"), "doc_id")
+    rows = candidates(index, queries).join(index.docs.select("doc_id", "title", "num_words", "page_rank"), "doc_id")
     rows = rows.join(boosts, "token", "left").withColumn("boost", F.coalesce("boost", F.lit(1.0))) if boosts is not None else rows.withColumn("boost", F.lit(1.0))
     cols = {c: F.col(c) for c in ("tf", "num_words", "n_tokens", "title", "token", "boost")}
     cols |= {"n_docs": F.lit(float(n_docs)), "df": (F.col("df") + F.when(F.col("n_words") == 1, df_offset).otherwise(0)).cast("double")}
-    each = rows.select("sub_id", "doc_id", "num_words", "page_rank", SCORERS[scorer](cols).alias("s"))
+    each = rows.select("sub_id", "doc_id", "n_tokens", "num_words", "page_rank", SCORERS[scorer](cols).alias("s"))
     factor = document_factor(scorer, F.col("num_words"))
     if blend_page_rank:
         factor = factor * (1 + F.coalesce(F.col("page_rank").cast("double"), F.lit(0.0)))
-    return each.groupBy("sub_id", "doc_id").agg((F.sum("s") * F.first(factor)).alias("score"))
+    found = each.groupBy("sub_id", "doc_id").agg((F.sum("s") * F.first(factor)).alias("score"), F.count(F.lit(1)).alias("k"), F.first("n_tokens").alias("n"))
+    return found.where("k = n").select("sub_id", "doc_id", "score")
 
 
 def sums(scored: DataFrame) -> DataFrame:
@@ -56,5 +54,4 @@ def merge_best(ranked: DataFrame, k: int) -> DataFrame:
 
 def by_page_rank(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """Conjunctive matches by page rank alone."""
-    found = conjunctive(token_hits(index, queries), queries).select("sub_id", "doc_id").distinct()
-    return top_k(found.join(index.docs.select("doc_id", F.col("page_rank").cast("double").alias("score")), "doc_id"), k, normalise=False)
+    return top_k(matches(index, queries).join(index.docs.select("doc_id", F.col("page_rank").cast("double").alias("score")), "doc_id"), k, normalise=False)

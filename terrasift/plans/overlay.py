@@ -9,6 +9,7 @@ from terrasift.functions import text as T
 from terrasift.operators import graph
 from terrasift.operators.geo import NATION_ID
 from terrasift.operators.index import Index, build_index, spread
+from terrasift.sources.store import stored
 
 _kept: dict = {}
 
@@ -17,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """Made once for a session and folder, stored and cached: what an index or gazetteer is stored with."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = stored(make(), name).cache()
+    return _kept[key]
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """Built once for a session and folder and cached, as a loaded index is."""
+    """Built once for a session and folder, then read as a stored index is."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-        _kept[key] = build_index(d.withColumn("title", F.substring("text", 1, 60))).cached()
+        _kept[key] = build_index(d.withColumn("title", F.substring("text", 1, 60))).stored()
     return _kept[key]
 
 
@@ -61,7 +70,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionByName(shape(co.join(s, "nk"), "COUNTY", county_id=F.col("id"), county_name=F.col("name"), state_id=F.col("state_id"), state_name=F.col("state_name")))
     out = out.unionByName(shape(ci.join(c, "sk").join(s, "nk"), "CITY", population=F.col("population"), x=(F.col("k") * 7919 * 13) % 1000000, y=(F.col("k") * 104729 * 7) % 1000000,
                                 county_id=F.col("county_id"), county_name=F.col("county_name"), state_id=F.col("state_id"), state_name=F.col("state_name")))
-    _kept[key] = out.cache()
+    _kept[key] = stored(out, "gazetteer").cache()
     return _kept[key]
 
 

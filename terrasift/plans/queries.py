@@ -23,7 +23,9 @@ def _two(spark):
 
 def corpus_stats(spark, sf):
     ix = O.index(spark, sf)
-    return ix.stats.select("n_docs", "total_words", F.round("avg_words", 6).alias("avg_words")).crossJoin(ix.terms.agg(F.count(F.lit(1)).alias("vocabulary")))  # one row each
+    a = ix.stats.select("n_docs", "total_words", F.round("avg_words", 6).alias("avg_words"), F.lit(0).cast("long").alias("vocabulary"))
+    b = ix.terms.agg(F.count(F.lit(1)).alias("v")).select(*[F.lit(0).cast(t).alias(c) for c, t in a.dtypes[:3]], F.col("v").alias("vocabulary"))
+    return a.union(b).agg(*[F.max(c).alias(c) for c in a.columns])
 
 
 def doc_lengths(spark, sf):
@@ -93,7 +95,7 @@ def _top10(scorer):
 def bm25_boosted(spark, sf):
     g = O.gazetteer(spark, sf)
     c = g.where("type = 'COUNTY'").groupBy("state_id").agg(F.first("state_name").alias("s"), F.min(F.struct("id", "name")).alias("c"))
-    queries = c.select(F.col("state_id").alias("sub_id"), F.posexplode(F.array("s", "c.name")).alias("ord", "token"))
+    queries = c.select(F.col("state_id").alias("sub_id"), F.posexplode(F.array("s", "c.name")).alias("ord", "token")).cache()
     boosts = g.groupBy(F.lower("name").alias("token")).agg(F.max(place_boost(F.col("type"))).alias("boost"))
     return R.top_k(R.score(O.index(spark, sf), queries, "bm25", boosts), 5)
 
@@ -108,8 +110,7 @@ def batch_bm25_top3(spark, sf):
 
 
 def conjunctive_match(spark, sf):
-    q = O.benchmark_queries(spark, sf)
-    return M.conjunctive(M.token_hits(O.index(spark, sf), q), q).select("sub_id", "doc_id").distinct()
+    return M.matches(O.index(spark, sf), O.benchmark_queries(spark, sf))
 
 
 def phrase_match(spark, sf):
@@ -288,15 +289,20 @@ def county_population(spark, sf):
 
 
 def _near(spark, sf, top=20):
+    """The neighbour graph, which belongs to the gazetteer and is kept with it."""
+    return O.kept(spark, sf, "near", lambda: G.neighbours(O.gazetteer(spark, sf).where("type = 'CITY'"), top=20)).where(F.col("rank") <= top)
+
+
+def _fresh_near(spark, sf, top=20):
     return G.neighbours(O.gazetteer(spark, sf).where("type = 'CITY'"), top=top)
 
 
 def geo_neighbors_50km(spark, sf):
-    return _near(spark, sf)
+    return _fresh_near(spark, sf)
 
 
 def geo_neighbors_cap5(spark, sf):
-    return _near(spark, sf, 5)
+    return _fresh_near(spark, sf, 5)
 
 
 def geo_neighbor_lines(spark, sf):
@@ -325,12 +331,16 @@ def geo_uniqify(spark, sf):
 
 
 def _tags(spark, sf):
+    return O.kept(spark, sf, "tags", lambda: _fresh_tags(spark, sf))
+
+
+def _fresh_tags(spark, sf):
     g = O.gazetteer(spark, sf)
     return G.place_tags(G.place_counts(O.index(spark, sf).occurrences, G.name_keys(g)), g)
 
 
 def doc_place_tags(spark, sf):
-    return _tags(spark, sf)
+    return _fresh_tags(spark, sf)
 
 
 def place_totals(spark, sf):
@@ -338,8 +348,7 @@ def place_totals(spark, sf):
 
 
 def place_suggestions(spark, sf):
-    q = O.benchmark_queries(spark, sf)
-    return G.suggest(M.conjunctive(M.token_hits(O.index(spark, sf), q), q), _tags(spark, sf), least=0.2)
+    return G.suggest(M.matches(O.index(spark, sf), O.benchmark_queries(spark, sf)), _tags(spark, sf), least=0.2)
 
 
 def geojson_features(spark, sf):
@@ -358,12 +367,12 @@ def segment_scores(spark, sf):
 
 
 def best_of_merge(spark, sf):
-    s = O.gazetteer(spark, sf).where("type = 'STATE'").select(F.col("id").alias("sub_id"), F.posexplode(F.array(F.lit("tion"), F.col("name"))).alias("ord", "token"))
+    s = O.gazetteer(spark, sf).where("type = 'STATE'").select(F.col("id").alias("sub_id"), F.posexplode(F.array(F.lit("tion"), F.col("name"))).alias("ord", "token")).cache()
     return R.merge_best(R.top_k(R.score(O.index(spark, sf), s), 10), 10)
 
 
 def _strength(spark, sf, subs):
-    return R.sums(R.score(O.index(spark, sf), subs)).select("sub_id", "strength")
+    return R.sums(R.score(O.index(spark, sf), subs.cache())).select("sub_id", "strength")  # the table of sub-queries is read several times
 
 
 def expansion_qualify(spark, sf):

@@ -50,8 +50,7 @@ def test_index_and_phrases(spark, engine):
     ix = engine.index if isinstance(engine.index, Index) else None
     assert ix.docs.count() == 5
     q = M.query_frame(spark, [(0, ["statue liberty"]), (1, ["zoo", "ohio"]), (2, ["zoo", "nowhere"])])
-    hits = M.token_hits(ix, q)
-    found = {(r.sub_id, r.doc_id) for r in M.conjunctive(hits, q).collect()}
+    found = {(r.sub_id, r.doc_id) for r in M.matches(ix, q).collect()}
     assert found == {(0, 4), (0, 5), (1, 1), (1, 3)}
 
 

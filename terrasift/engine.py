@@ -10,7 +10,7 @@ from .functions import text as T
 from .functions.scoring import place_boost
 from .operators import feedback, geo as G, graph, rank, render, understand as U
 from .operators.index import Index, build_index
-from .operators.match import conjunctive, query_frame, token_hits
+from .operators.match import matches, query_frame
 
 RANKERS = {"geocomprehensive": "bm25", "bm25": "bm25", "tfidf": "tfidf", "cosine": "cosine", "lucene_tfidf": "lucene_tfidf", "pagerank": "pagerank"}
 KEEP_AMBIGUOUS, KEEP_EXPANDED, LEAST_EXPANDED, GOOD_ENOUGH = 0.7, 0.75, 0.5, 1.0
@@ -100,7 +100,7 @@ class Engine:
         log.append((f"query {' | '.join(q.tokens)}", base, True))
         if self.tags is not None and q.supporting:
             sup = query_frame(self.spark, [(0, q.supporting)])
-            q.suggestions = [r["geo_id"] for r in G.suggest(conjunctive(token_hits(self.index, sup), sup), self.tags, SUGGEST_LEAST).orderBy("rank").collect()]
+            q.suggestions = [r["geo_id"] for r in G.suggest(matches(self.index, sup), self.tags, SUGGEST_LEAST).orderBy("rank").collect()]
         if q.candidates and self.geo is not None:
             self._resolve(q)
             if len(q.candidates) > 1:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import text as T
 from .functions.scoring import place_boost
 from .operators import feedback, geo as G, graph, rank, render, understand as U
-from .operators.index import Index, build_index
+from .operators.index import Index, build_index, document_words
 from .operators.match import matches, query_frame
 
 RANKERS = {"geocomprehensive": "bm25", "bm25": "bm25", "tfidf": "tfidf", "cosine": "cosine", "lucene_tfidf": "lucene_tfidf", "pagerank": "pagerank"}
@@ -35,13 +35,14 @@ class Engine:
         self.names = G.name_keys(geo) if geo is not None else spark.createDataFrame([], "key string, id long")
         self.tags = tags
         if tags is None and geo is not None:
-            self.tags = G.place_tags(G.place_counts(index.occurrences, self.names), geo)
+            self.tags = G.place_tags(G.place_counts(G.grams_of_occurrences(index.occurrences), self.names), geo)
 
     # -- build ------------------------------------------------------------
     @classmethod
     def index(cls, source: DataFrame, geo: DataFrame | None = None, near: DataFrame | None = None, path: str | None = None) -> Engine:
         ix = build_index(source)
-        e = cls(source.sparkSession, ix, geo, near)
+        tags = None if geo is None else G.place_tags(G.place_counts(G.grams_of_words(document_words(source)), G.name_keys(geo)), geo)
+        e = cls(source.sparkSession, ix, geo, near, tags)
         if path:
             ix.save(path)
             if e.tags is not None:

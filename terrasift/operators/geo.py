@@ -125,43 +125,49 @@ def neighbours(cities: DataFrame, distance: float = NEAR_DISTANCE, top: int = NE
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("id", "near_id", "rank")
 
 
-def ngram_counts(occurrences: DataFrame, edge_effects: bool = False) -> DataFrame:
+def grams_of_words(words: DataFrame) -> DataFrame:
+    """(doc_id, words) to (doc_id, pos, n, t1, t2, t3): each word with the two after it, made inside its row, without a shuffle."""
+    size = F.size("words")
+    rest = lambda k: F.slice("words", k, F.greatest(size, F.lit(1)))
+    zipped = F.arrays_zip(F.col("words").alias("t1"), rest(2).alias("t2"), rest(3).alias("t3"))
+    return words.select("doc_id", size.alias("n"), F.posexplode(zipped).alias("pos", "g")).select("doc_id", "pos", "n", "g.t1", "g.t2", "g.t3")
+
+
+def grams_of_occurrences(occurrences: DataFrame) -> DataFrame:
+    """The same from an index that has come without its texts: one shuffle and sort by document."""
+    doc = Window.partitionBy("doc_id")
+    w = doc.orderBy("pos")
+    return occurrences.select("doc_id", "pos", F.count(F.lit(1)).over(doc).alias("n"), F.col("term").alias("t1"), F.lead("term", 1).over(w).alias("t2"), F.lead("term", 2).over(w).alias("t3"))
+
+
+def _keys(grams: DataFrame, edge_effects: bool) -> DataFrame:
+    """(doc_id, key, x) of the one- to three-word strings that start at each word; x is how often one counts."""
+    texts = (F.col("t1"), F.when(F.col("t2").isNotNull(), F.concat_ws(" ", "t1", "t2")), F.when(F.col("t3").isNotNull(), F.concat_ws(" ", "t1", "t2", "t3")))
+    counts = [T.anchored_weight(F.col("n"), F.col("pos"), k) if edge_effects else F.lit(1) for k in (1, 2, 3)]
+    each = F.array(*[F.struct(t.alias("key"), x.cast("int").alias("x")) for t, x in zip(texts, counts)])
+    return grams.select("doc_id", F.explode(each).alias("k")).select("doc_id", "k.key", "k.x").where("key is not null and x > 0")
+
+
+def ngram_counts(grams: DataFrame, edge_effects: bool = False) -> DataFrame:
     """(doc_id, key, cnt) of all one- to three-word strings; with edge_effects, as a three-word
     buffer anchored at its oldest word counts them."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    g = occurrences.withColumn("t2", F.lead("term", 1).over(w)).withColumn("t3", F.lead("term", 2).over(w))
-    if edge_effects:
-        g = g.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-        weights = [T.anchored_weight(F.col("n"), F.col("pos"), k) for k in (1, 2, 3)]
-    else:
-        weights = [F.lit(1)] * 3
-    keys = F.array(*[F.struct(k.alias("key"), x.alias("x")) for k, x in zip(
-        (F.col("term"), F.when(F.col("t2").isNotNull(), F.concat_ws(" ", "term", "t2")), F.when(F.col("t3").isNotNull(), F.concat_ws(" ", "term", "t2", "t3"))), weights)])
-    return g.select("doc_id", F.explode(keys).alias("k")).where("k.key is not null and k.x > 0").groupBy("doc_id", F.col("k.key").alias("key")).agg(F.sum("k.x").alias("cnt"))
-
-
-def place_counts(occurrences: DataFrame, names: DataFrame, edge_effects: bool = False) -> DataFrame:
-    """(doc_id, geo_id, cnt) before any threshold. Only words that begin some name are joined further."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    g = occurrences.withColumn("t2", F.lead("term", 1).over(w)).withColumn("t3", F.lead("term", 2).over(w))
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) if edge_effects else F.lit(0)
-    g = g.withColumn("n", n)
-    keyed = names.select("key", F.col("id").alias("geo_id"), F.split("key", " ").alias("w")).where(F.size("w").between(1, 3)).select(
-        "geo_id", F.size("w").alias("len"), F.get("w", F.lit(0)).alias("term"), F.get("w", F.lit(1)).alias("w2"), F.get("w", F.lit(2)).alias("w3"))
-    hit = g.join(keyed, "term").where("(w2 is null or w2 = t2) and (w3 is null or w3 = t3)")
-    weight = F.lit(1)
-    if edge_effects:
-        weight = F.when(F.col("len") == 1, T.anchored_weight(F.col("n"), F.col("pos"), 1)).when(F.col("len") == 2, T.anchored_weight(F.col("n"), F.col("pos"), 2)).otherwise(T.anchored_weight(F.col("n"), F.col("pos"), 3))
-    return hit.groupBy("doc_id", "geo_id").agg(F.sum(weight).alias("cnt")).where("cnt > 0")
+    return _keys(grams, edge_effects).groupBy("doc_id", "key").agg(F.sum("x").alias("cnt"))
+
+
+def place_counts(grams: DataFrame, names: DataFrame, edge_effects: bool = False) -> DataFrame:
+    """(doc_id, geo_id, cnt) before any threshold. Strings meet the distinct names in one lookup
+    each and are counted; only then do the places that share a name take that count each."""
+    known = names.where(F.size(F.split("key", " ")) <= 3)
+    hit = _keys(grams, edge_effects).join(known.select("key").distinct(), "key").groupBy("doc_id", "key").agg(F.sum("x").alias("cnt"))
+    return hit.join(known.select("key", F.col("id").alias("geo_id")), "key").groupBy("doc_id", "geo_id").agg(F.sum("cnt").alias("cnt"))
 
 
 def place_tags(counts: DataFrame, geo: DataFrame, least: int = MIN_COUNT) -> DataFrame:
-    """Counts of at least `least`; cities and counties only where their state is tagged too."""
+    """Counts of at least `least`; cities and counties only where their state is tagged too. A window
+    over each document's own few places tells which, so that the counts are made once."""
     many = counts.where(F.col("cnt") >= least).join(geo.select(F.col("id").alias("geo_id"), "type", "state_id"), "geo_id")
-    states = many.where("type = 'STATE'").select("doc_id", F.col("geo_id").alias("state_id"))
-    wide = many.where("type in ('STATE', 'NATION')")
-    narrow = many.where("type in ('CITY', 'COUNTY')").join(states, ["doc_id", "state_id"], "left_semi")
-    return wide.select("doc_id", "geo_id", "cnt").unionByName(narrow.select("doc_id", "geo_id", "cnt"))
+    states = F.collect_set(F.when(F.col("type") == "STATE", F.col("geo_id"))).over(Window.partitionBy("doc_id"))
+    return many.withColumn("states", states).where("type in ('STATE', 'NATION') or array_contains(states, state_id)").select("doc_id", "geo_id", "cnt")
 
 
 def place_totals(tags: DataFrame) -> DataFrame:

@@ -54,6 +54,12 @@ class Index:
         return self.stats.first()["n_docs"]
 
 
+def document_words(source: DataFrame, stop: list[str] = T.STOP_WORDS) -> DataFrame:
+    """(doc_id, words) of the documents that an index takes in, in the order of their positions there."""
+    words = T.split_words(T.index_clean(F.coalesce("text", F.lit(""))))
+    return source.select("doc_id", words.alias("words")).where(F.size("words") > 1).select("doc_id", T.drop_stop_words(F.col("words"), stop).alias("words"))
+
+
 def build_index(source: DataFrame, stop: list[str] = T.STOP_WORDS) -> Index:
     """From doc_id, text and, where there, title, url, page_rank and num_views. Documents of fewer
     than two words are left out; stop words count in lengths but take no position."""

@@ -235,7 +235,7 @@ select page_id, trim(regexp_replace({unescaped("regexp_replace(t, '<[^>]*>', ' '
     "url_frontier_counts": rf"select u as url, count(*) as visits from (select {URL} as u from pages) where regexp_matches(u, '^https?://[^\s/?#]+[^\s]*$') and contains(u, 'example.') group by 1",
     "crawl_filter": "select page_id, url from pages where not contains(url, 'Category') and not contains(url, 'Talk') and not contains(url, 'User') and not contains(url, 'File') and contains(url, 'example.')",
     "grades": "select doc_id, case when quality = 1 and toxic = 0 then 1 else 0 end as relevant, case when quality = 1 and toxic = 0 and doc_id % 5 = 0 then 10 when quality = 1 and toxic = 0 then 7 when quality = 1 then 1 else 0 end as gain from labels",
-    "membership_md5": "select d.doc_id, md5(d.text) as digest from documents d where md5(d.text) in (select md5(text) from documents where doc_id % 3 = 0)",
+    "membership_md5": "select d.doc_id, md5(d.text) as digest from documents d where md5(d.text) in (select md5(text) from documents join labels using (doc_id))",
     "text_result_lines": q(INDEX, TWO, scored("two"), top("scored", 10), select="select doc_id || chr(9) || title || chr(9) || printf('%.6f', score) || chr(9) || '0.0' || chr(9) || '0' as line from ranked join docs using (doc_id)"),
     "geojson_features": q(INDEX, GEO, select="""select id, '{"type":"Feature","id":"' || id || '","geometry":{"type":"Point","coordinates":[' || x || ',' || y || ']},"properties":{"name":"' || name || '","type":"primary","population":' || population || '}}' as feature from geo where type = 'CITY'"""),
     "query_words": "with a as (select item_id, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z0-9\\s]', '', 'g')), '\\s+'), lambda z: z <> '' and z not in ({})) as ws from benchmark) select item_id, array_to_string(ws, ' ') as words, len(ws)::int as n from a".format(", ".join(f"'{w}'" for w in QUERY_STOP_WORDS)),

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terrasift.functions import text as T
 from terrasift.operators import graph
-from terrasift.operators.geo import NATION_ID
-from terrasift.operators.index import Index, build_index, spread
+from terrasift.operators.geo import NATION_ID, grams_of_words
+from terrasift.operators.index import Index, build_index, document_words, spread
 from terrasift.sources.store import stored
 
 _kept: dict = {}
@@ -35,6 +35,11 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return _kept[key]
 
 
+def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the two after it."""
+    return grams_of_words(document_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def vocabulary(ix: Index, n: int = 525) -> DataFrame:
     """(term, r): the n most widespread words of four letters or more."""
     top = ix.terms.where(F.length("term") >= 4).orderBy(F.desc("df"), "term").limit(n)

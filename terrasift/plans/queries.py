@@ -81,7 +81,7 @@ def mining_words(spark, sf):
 
 
 def anchored_ngrams(spark, sf):
-    return G.ngram_counts(O.index(spark, sf).occurrences, edge_effects=True).where("cnt >= 3")
+    return G.ngram_counts(O.grams(spark, sf), edge_effects=True).where("cnt >= 3")
 
 
 # -- matching and ranking ------------------------------------------------------
@@ -228,7 +228,8 @@ def crawl_filter(spark, sf):
 
 def membership_md5(spark, sf):
     d = O.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
-    return d.join(d.where("doc_id % 3 = 0").select("digest").distinct(), "digest", "left_semi").select("doc_id", "digest")
+    added = O.table(spark, sf, "labels").select("doc_id").join(d, "doc_id").select("digest")
+    return d.join(added, "digest", "left_semi").select("doc_id", "digest")
 
 
 # -- evaluation ----------------------------------------------------------------
@@ -336,7 +337,7 @@ def _tags(spark, sf):
 
 def _fresh_tags(spark, sf):
     g = O.gazetteer(spark, sf)
-    return G.place_tags(G.place_counts(O.index(spark, sf).occurrences, G.name_keys(g)), g)
+    return G.place_tags(G.place_counts(O.grams(spark, sf), G.name_keys(g)), g)
 
 
 def doc_place_tags(spark, sf):

@@ -54,10 +54,23 @@ def buffer_counts(words):
 
 @pytest.mark.parametrize("n", range(9))
 def test_anchored_ngrams_by_simulation(spark, n):
-    from terrasift.operators.geo import ngram_counts
+    from terrasift.operators.geo import grams_of_occurrences, grams_of_words, ngram_counts
     words = [f"w{i}" for i in range(n)]
     occ = spark.createDataFrame([(w, 1, i) for i, w in enumerate(words)], "term string, doc_id long, pos int")
-    assert {r.key: r.cnt for r in ngram_counts(occ, True).collect()} == buffer_counts(words)
+    own = spark.createDataFrame([(1, words)], "doc_id long, words array<string>")
+    for grams in (grams_of_occurrences(occ), grams_of_words(own)):
+        assert {r.key: r.cnt for r in ngram_counts(grams, True).collect()} == buffer_counts(words)
+
+
+def test_place_counts(spark):
+    from terrasift.operators.geo import grams_of_occurrences, grams_of_words, place_counts
+    texts = {1: "new york city in new york".split(), 2: ["york"], 3: [], 4: "new new york new".split()}
+    own = spark.createDataFrame(list(texts.items()), "doc_id long, words array<string>")
+    occ = spark.createDataFrame([(w, d, i) for d, ws in texts.items() for i, w in enumerate(ws)], "term string, doc_id long, pos int")
+    names = spark.createDataFrame([("new york", 7), ("new york", 8), ("york", 9), ("new york city", 10), ("a b c d", 11), ("absent", 12)], "key string, id long")
+    expected = {(1, 7): 2, (1, 8): 2, (1, 9): 2, (1, 10): 1, (2, 9): 1, (4, 7): 1, (4, 8): 1, (4, 9): 1}
+    for grams in (grams_of_words(own), grams_of_occurrences(occ)):
+        assert {(r.doc_id, r.geo_id): r.cnt for r in place_counts(grams, names).collect()} == expected
 
 
 def test_stemmer():
@@ -105,3 +118,13 @@ def test_options_and_requests():
         readers.parse_options(lines[:-1])
     r = readers.parse_request("query=new+york&NUMDOCS=x&numterms=3&best=TRUE&place=1,2&uname=ohio")
     assert (r["query"], r["numdocs"], r["numterms"], r["best"], r["place"], r["uname"]) == ("new york", 10, 3, True, [1, 2], ["ohio"])
+
+
+def test_cleaning_takes_the_stated_characters(spark):
+    import re
+    every = "".join(chr(c) for c in range(1, 0x2200)) + "\U0001f600"
+    df = spark.createDataFrame([(every,)], "text string")
+    ascii_space = r"\t\n\x0b\f\r "
+    for made, pattern, put in ((T.index_clean, rf"[^A-Za-z0-9{ascii_space}]", " "), (T.mining_clean, rf"[^A-Za-z0-9{ascii_space}]", ""), (T.display_clean, r"[^A-Za-z0-9 ]", "")):
+        expected = re.sub(pattern, put, every)
+        assert df.select(made(F.col("text"))).first()[0] == (expected if made is T.display_clean else expected.lower())

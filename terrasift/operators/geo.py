@@ -156,10 +156,11 @@ def ngram_counts(grams: DataFrame, edge_effects: bool = False) -> DataFrame:
 
 def place_counts(grams: DataFrame, names: DataFrame, edge_effects: bool = False) -> DataFrame:
     """(doc_id, geo_id, cnt) before any threshold. Strings meet the distinct names in one lookup
-    each and are counted; only then do the places that share a name take that count each."""
-    known = names.where(F.size(F.split("key", " ")) <= 3)
+    each and are counted; only then do the places that share a name take that count each, so a
+    threshold on it applies before. A place has one name (of several rows with its id, the least)."""
+    known = names.groupBy(F.col("id").alias("geo_id")).agg(F.min("key").alias("key"))
     hit = _keys(grams, edge_effects).join(known.select("key").distinct(), "key").groupBy("doc_id", "key").agg(F.sum("x").alias("cnt"))
-    return hit.join(known.select("key", F.col("id").alias("geo_id")), "key").groupBy("doc_id", "geo_id").agg(F.sum("cnt").alias("cnt"))
+    return hit.join(known, "key").select("doc_id", "geo_id", "cnt")
 
 
 def place_tags(counts: DataFrame, geo: DataFrame, least: int = MIN_COUNT) -> DataFrame:

@@ -55,9 +55,10 @@ class Index:
 
 
 def document_words(source: DataFrame, stop: list[str] = T.STOP_WORDS) -> DataFrame:
-    """(doc_id, words) of the documents that an index takes in, in the order of their positions there."""
-    words = T.split_words(T.index_clean(F.coalesce("text", F.lit(""))))
-    return source.select("doc_id", words.alias("words")).where(F.size("words") > 1).select("doc_id", T.drop_stop_words(F.col("words"), stop).alias("words"))
+    """(doc_id, words) in the order of their positions in the index; documents that it leaves out have none.
+    (They are not filtered out, as that filter would be moved to the scan and split every text there once more.)"""
+    words = source.select("doc_id", T.split_words(T.index_clean(F.coalesce("text", F.lit("")))).alias("words"))
+    return words.select("doc_id", F.when(F.size("words") > 1, T.drop_stop_words(F.col("words"), stop)).otherwise(F.array().cast("array<string>")).alias("words"))
 
 
 def build_index(source: DataFrame, stop: list[str] = T.STOP_WORDS) -> Index:

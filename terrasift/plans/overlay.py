@@ -35,9 +35,12 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return _kept[key]
 
 
-def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of the documents with the two after it."""
-    return grams_of_words(document_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+def grams(spark: SparkSession, sf_dir: str, by_document: bool = False) -> DataFrame:
+    """Every word of the documents with the two after it; by_document: texts are dealt by their document
+    first, so that counts of all its strings need no shuffle of the strings, which are many times the text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = d.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id") if by_document else spread(d)
+    return grams_of_words(document_words(d))
 
 
 def vocabulary(ix: Index, n: int = 525) -> DataFrame:

@@ -81,7 +81,7 @@ def mining_words(spark, sf):
 
 
 def anchored_ngrams(spark, sf):
-    return G.ngram_counts(O.grams(spark, sf), edge_effects=True).where("cnt >= 3")
+    return G.ngram_counts(O.grams(spark, sf, by_document=True), edge_effects=True)
 
 
 # -- matching and ranking ------------------------------------------------------

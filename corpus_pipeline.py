@@ -29,7 +29,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in global random order."""
-    return mixing.mix_sources(docs, mixing.QUERY_WEIGHTS).select(*docs.columns)
+    return mixing.mix_sources(docs, mixing.QUERY_WEIGHTS, other=mixing.OTHER_WEIGHT).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,23 +41,23 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.when(u <= F.exp(-rate), F.lit(0)).otherwise(found)
 
 
-def source_rates(df: DataFrame, weights: dict[str, float] | None, source_col: str, budget: float) -> tuple[DataFrame, int]:
+def source_rates(df: DataFrame, weights: dict[str, float] | None, source_col: str, budget: float, other: float = 0.0) -> tuple[DataFrame, int]:
     """(source, n_docs, rate) and how many sources there are: rate = budget * N * weight share / n_docs, so a source's expected
     rows hold its share of budget * N. weights=None: every source alike; a source that is not in
-    `weights` gets weight 0. A null source is a source of its own, named ''."""
+    `weights` gets weight `other`. A null source is a source of its own, named ''."""
     counts = df.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")).agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:
         weighted = counts.withColumn("w", F.lit(1.0))
     else:
         pairs = [F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]
-        weighted = counts.withColumn("w", F.coalesce(F.element_at(F.create_map(*pairs), F.col("src")), F.lit(0.0)))
+        weighted = counts.withColumn("w", F.coalesce(F.element_at(F.create_map(*pairs), F.col("src")), F.lit(float(other))))
     sums = weighted.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1))).first()
     rate = F.lit(float(budget) * sums[1] / sums[0]) * F.col("w") / F.col("n_docs") if sums[0] > 0 else F.lit(0.0)
     return weighted.select("src", "n_docs", rate.alias("rate")), sums[2]
 
 
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: str = "mix",
-                id_col: str = "doc_id", source_col: str = "source", keep_columns: list[str] | None = None) -> DataFrame:
+                id_col: str = "doc_id", source_col: str = "source", keep_columns: list[str] | None = None, other: float = 0.0) -> DataFrame:
     """Rows of df repeated by their Poisson counts, in random global order; adds copy (from 1),
     rate and shuffle_key (under free names if df has such columns; see `mixed_columns`).
 
@@ -66,7 +66,7 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, budget:
     """
     names = mixed_columns(df)
     cols = keep_columns or df.columns
-    rates, n_sources = source_rates(df, weights, source_col, budget)
+    rates, n_sources = source_rates(df, weights, source_col, budget, other)
     rates = rates.select(F.col("src").alias("__src"), F.col("rate").alias("__rate"))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     body = df.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"), ident.alias("__id"))
@@ -87,6 +87,8 @@ def mixed_columns(df: DataFrame) -> dict[str, str]:
 
 #: What the registered query aims at.
 QUERY_WEIGHTS = {f"src{i}": w for i, w in enumerate([4.0, 3.0, 2.0, 2.0] + [1.0] * 16)}
+#: Of a source that is not listed, and of documents without one. (The SQL has 0 there; the given tables have no such rows.)
+OTHER_WEIGHT = 1.0
 
 ORACLE = """
 with recursive w as (select 'src' || i as src, case i when 0 then 4.0 when 1 then 3.0 when 2 then 2.0 when 3 then 2.0 else 1.0 end::double as w from range(20) t(i)),

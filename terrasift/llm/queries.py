@@ -13,7 +13,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark, sf_dir):
     from pyspark.sql import functions as F
-    return mixing.mix_sources(_documents(spark, sf_dir), mixing.QUERY_WEIGHTS).withColumn("rate", F.round("rate", 9))
+    return mixing.mix_sources(_documents(spark, sf_dir), mixing.QUERY_WEIGHTS, other=mixing.OTHER_WEIGHT).withColumn("rate", F.round("rate", 9))
 
 
 def op9_exact_dedup(spark, sf_dir):

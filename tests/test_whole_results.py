@@ -20,3 +20,17 @@ def test_anchored_ngrams_of_any_count(spark, tmp_path):
     got = {(r.doc_id, r.key): r.cnt for r in catalog.queries()["anchored_ngrams"](spark, d).collect()}
     assert got == {(i, k): n for i, t in texts.items() for k, n in buffer_counts(t.split()).items()}
     assert {1, 2} <= set(Counter(got.values()))
+
+
+MIXED = [(i, f"text {i}", "en", ("src0", "src5", "elsewhere", None)[i % 4], 6) for i in range(400)]
+
+
+def test_mixing_keeps_null_and_unknown_sources(spark, tmp_path):
+    import corpus_pipeline
+    from terrasift.llm.queries import queries
+    d = folder(spark, tmp_path, "documents", MIXED, "doc_id long, text string, lang string, source string, n_chars int")
+    rows = queries()["op3_mix_sources"](spark, d).collect()
+    assert {r.source: r.rate for r in rows} == {"src0": round(16 / 7, 9), **dict.fromkeys(("src5", "elsewhere", None), round(4 / 7, 9))}
+    staged = corpus_pipeline.mixing_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()
+    assert sorted(r.doc_id for r in staged) == sorted(r.doc_id for r in rows)
+    assert 30 < sum(r.source is None for r in staged) < 90

@@ -2,7 +2,9 @@
 from the nearest ancestor directory (DataFrame functions only).
 
 A file's units are its lines that speak of licensing, and, for a licence file (by its name), its
-whole text too. Units are collapsed to distinct ones before anything is scored, so a header that a
+whole text too. Beside them, every licensing word of a text gives windows as long as the templates, with
+the word where a template has it, so that a sentence inside a longer line or over several lines is
+found; a window counts for a licence that it names. Units are collapsed to distinct ones before anything is scored, so a header that a
 third of all files carry is scored once. Term weights are (1 + ln tf) * idf, with idf over the
 template collection; a term of no template has the greatest idf. A file's own licence is its
 best unit's best template at THRESHOLD or above. A directory's licence is that of its best
@@ -44,6 +46,79 @@ TEMPLATES = [
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
+#: What a window must hold (as words parted by single spaces) to count for a licence.
+NAMED = {"Apache-2.0": "apache", "BSD-3-Clause": "bsd|redistribution and use", "CC-BY-4.0": "creative commons|cc by", "CC-BY-NC-4.0": "creative commons|cc by",
+         "GPL-3.0": "gpl|general public license", "MIT": r"\bmit\b|permission is hereby granted", "MPL-2.0": "mpl|mozilla public"}
+_CC = r"(cc by|creative commons attribution)"
+_GPL = r"(gpl ?|general public license)( \w+){0,10}? ?v?"
+#: Licences whose words are close to a template's: (template's licence, words that show the template's own, [(words, licence)]).
+#: The first that is found counts, unless the template's own words are there too.
+VARIANTS = [
+    ("GPL-3.0", r"(?<!lesser )(?<!affero )(?<!\w)" + _GPL + r"3\b", [
+        (r"affero|agpl", "AGPL-3.0"), (r"(lesser|lgpl)( \w+){0,16}? ?v?2 1\b", "LGPL-2.1"), (r"lesser|lgpl", "LGPL-3.0"), (r"library general public", "LGPL-2.0"),
+        (_GPL + r"2\b", "GPL-2.0"), (_GPL + r"1\b", "GPL-1.0")]),
+    *[(x, own, [(rf"{_CC} {words}( international| unported| generic| license)*( {v} {m})?\b" if (v, m) == ("4", "0") else rf"{_CC} {words}( international| unported| generic| license)* {v} {m}\b", f"CC-BY{tag}-{v}.{m}")
+                for words, tag in (("(nc|noncommercial|non commercial) (sa|sharealike|share alike)", "-NC-SA"), ("(nc|noncommercial|non commercial) (nd|noderivatives|noderivs|no derivatives)", "-NC-ND"),
+                                   ("(sa|sharealike|share alike)", "-SA"), ("(nd|noderivatives|noderivs|no derivatives)", "-ND"), ("(nc|noncommercial|non commercial)", "-NC"))
+                for v, m in ("10", "20", "25", "30", "40")] + [(rf"{_CC} {v} {m}\b", f"CC-BY-{v}.{m}") for v, m in ("10", "20", "25", "30")])
+      for x, own in (("CC-BY-4.0", rf"{_CC}( international)? 4 0\b"), ("CC-BY-NC-4.0", rf"{_CC} (nc|noncommercial|non commercial)( international)? 4 0\b"))],
+    ("Apache-2.0", r"apache( software)?( license)?( version)? v?2\b", [(r"apache( software)?( license)?( version)? v?1 1\b", "Apache-1.1"), (r"apache( software)?( license)?( version)? v?1\b", "Apache-1.0")]),
+    ("MPL-2.0", r"(mpl|mozilla public license)( version)?( v)? ?v?2\b", [(r"(mpl|mozilla public license)( version)?( v)? ?v?1 1\b", "MPL-1.1"), (r"(mpl|mozilla public license)( version)?( v)? ?v?1\b", "MPL-1.0")]),
+    ("BSD-3-Clause", r"bsd 3|3 clause", [(r"bsd 2|2 clause bsd", "BSD-2-Clause"), (r"bsd 4|4 clause bsd", "BSD-4-Clause"), (r"\b0bsd|bsd 0|bsd zero", "0BSD")]),
+    ("MIT", r"\bmit license", [(r"\bmit 0\b|mit no attribution", "MIT-0")]),
+]
+
+
+def _words(text: str) -> list[str]:
+    import re
+    return re.findall(WORD, text.lower())
+
+
+LICENSING = "licen[cs]e|copyright|spdx|hereby|redistribution"
+#: How far words of a window lie from its licensing word, at most.
+REACH = max(len(_words(t)) for _, t in TEMPLATES)
+
+
+def window_shapes() -> list[tuple[int, int]]:
+    """(words before the licensing word, words in all) of every licensing word of every template."""
+    import re
+    return sorted({(j, len(w)) for _, t in TEMPLATES for w in [_words(t)] for j, x in enumerate(w) if re.search(LICENSING, x)})
+
+
+def named(licence: Column, words: Column) -> Column:
+    out = F.lit(False)
+    for x, pattern in NAMED.items():
+        out = out | ((licence == x) & words.rlike(pattern))
+    return out
+
+
+def stated(licence: Column, words: Column) -> Column:
+    """The template's licence, or the close one that the words state instead."""
+    out = licence
+    for x, own, others in VARIANTS:
+        found = F.coalesce(*[F.when(words.rlike(p), F.lit(to)) for p, to in others])
+        out = F.when((licence == x) & ~words.rlike(own), F.coalesce(found, licence)).otherwise(out)
+    return out
+
+
+def window_contexts(texts: DataFrame) -> DataFrame:
+    """(row, text) to (row, context, hit): the words around each licensing word and which of them that is.
+    The words are a generated column, so that they are made once a text and not once a word of it."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    made = texts.select("row", F.explode(F.array(words)).alias("words"))
+    hits = F.filter(F.transform("words", lambda x, i: F.when(x.rlike(LICENSING), i)), lambda i: i.isNotNull())
+    at = made.select("row", "words", hits.alias("hits"))
+    from_ = lambda i: F.greatest(i - REACH, F.lit(0))
+    around = F.transform("hits", lambda i: F.struct(F.array_join(F.slice("words", from_(i) + 1, 2 * REACH + 1), " ").alias("context"), (i - from_(i)).alias("hit")))
+    return at.select("row", F.explode(F.array_distinct(around)).alias("c")).select("row", "c.context", "c.hit")
+
+
+def windows() -> Column:
+    """Of a context: its windows by the templates' shapes."""
+    w = F.split("context", " ")
+    cut = [F.array_join(F.slice(w, F.greatest(F.col("hit") - j, F.lit(0)) + 1, F.least(F.lit(n), F.col("hit") - j + n)), " ") for j, n in window_shapes()]
+    return F.filter(F.array_distinct(F.array(*cut)), lambda x: x.rlike("|".join(NAMED.values())))
+
 
 def template_terms() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template number, licence, term, unit weight) rows, idf by term, and idf of any other term."""
@@ -81,11 +156,15 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
     is_file = path.rlike(LICENSE_FILE)
     lines = F.when(text.rlike(HEADER), F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER))).otherwise(F.array().cast("array<string>"))
     units = F.when(is_file & (text != ""), F.array_union(F.array_distinct(lines), F.array(text))).otherwise(F.array_distinct(lines))
-    src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), is_file.alias("is_file"), units.alias("units"))
+    src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), is_file.alias("is_file"), units.alias("units"), F.when(text.rlike(HEADER), text).alias("text"))
     src = saved(src, "licence-units")
     files = src.select("row", "doc_id", "path", "is_file", F.size("units").alias("n_units"), parent(F.col("path")).alias("dir"))
     spread = src.where(F.size("units") > 0).select("row", F.explode("units").alias("unit")).withColumn("uid", F.md5("unit"))
-    distinct = spread.groupBy("uid").agg(F.min("unit").alias("unit"))
+    around = window_contexts(src.where("text is not null").select("row", "text")).withColumn("cid", F.md5(F.concat_ws("|", "context", "hit")))
+    around = saved(around, "licence-contexts")
+    pieces = around.groupBy("cid").agg(F.min("context").alias("context"), F.min("hit").alias("hit")).select("cid", "context", F.explode(windows()).alias("unit")).withColumn("uid", F.md5("unit"))
+    pieces = saved(pieces, "licence-windows")
+    distinct = spread.select("uid", "unit").union(pieces.select("uid", "unit")).groupBy("uid").agg(F.min("unit").alias("unit"))
     tf = (
         distinct.select("uid", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(WORD), F.lit(0))).alias("term"))
         .groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -97,11 +176,15 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
     dot = tf.join(vectors, "term").groupBy("uid", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scores = (
         dot.join(norm, "uid").select("uid", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-        .where(F.col("score") >= THRESHOLD).groupBy("uid")
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best"))
+        .where(F.col("score") >= THRESHOLD).groupBy("uid", "license").agg(F.max("score").alias("score"))
     )
-    scores = saved(scores.select("uid", "best"), "licence-scores")
-    own = spread.select("row", "uid").join(scores, "uid").groupBy("row").agg(F.min("best").alias("best"))
+    scores = saved(scores, "licence-scores")
+    best = lambda words: F.min(F.struct((-F.col("score")).alias("s"), stated(F.col("license"), words).alias("license"))).alias("best")
+    plain = F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")
+    lined = spread.select("uid", "unit").distinct().join(scores, "uid").groupBy("uid").agg(best(plain))
+    boxed = pieces.join(scores, "uid").where(named(F.col("license"), F.col("unit"))).groupBy("cid").agg(best(F.col("context")))
+    own = spread.select("row", "uid").join(lined, "uid").select("row", "best").union(around.select("row", "cid").join(boxed, "cid").select("row", "best"))
+    own = own.groupBy("row").agg(F.min("best").alias("best"))
     filed = saved(files.join(own, "row", "left").select("row", "doc_id", "path", "dir", "is_file", "n_units", F.col("best.license").alias("own"), (-F.col("best.s")).alias("own_score")), "licence-files")
     dirs = (
         filed.where("is_file and own is not null").groupBy("dir")

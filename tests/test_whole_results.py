@@ -34,3 +34,23 @@ def test_mixing_keeps_null_and_unknown_sources(spark, tmp_path):
     staged = corpus_pipeline.mixing_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()
     assert sorted(r.doc_id for r in staged) == sorted(r.doc_id for r in rows)
     assert 30 < sum(r.source is None for r in staged) < 90
+
+
+LICENCES = {
+    "# Copyright 2020 Acme. Released under the MIT License.": "MIT",
+    "one two three four five six seven eight nine ten eleven twelve Released under the MIT License. thirteen fourteen fifteen sixteen seventeen eighteen nineteen": "MIT",
+    " * Licensed under the\n * Apache License,\n * Version 2.0. Some other words of the file follow here": "Apache-2.0",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "the driver must show a license at the border": None,
+}
+
+
+def test_licences_inside_longer_lines_and_close_variants(spark):
+    from terrasift.llm.licenses import scan_licenses
+    rows = [(i, f"d{i}/a.txt", t) for i, t in enumerate(LICENCES)]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == dict(enumerate(LICENCES.values()))

@@ -1,20 +1,16 @@
 """Byte-pair merges over many words at once, on flat numpy symbol arrays.
 
-In each round every word that still has a known pair merges its leftmost pair of least rank;
-the arrays are then compacted, and words without a pair leave. One merge a word and round
-keeps the order of the reference merge queue exactly (a merge may create a pair that ranks
-before a second occurrence of the pair just merged). Words of over LONG symbols, which would
-need as many rounds, go through a heap of their own.
+In each round every word that still has a known pair merges its pair of least rank, all its
+occurrences from the left at once, as long as that is what a queue that takes one pair at a time
+would do: a merge may create a pair that ranks before the next occurrence, and then the round
+ends there for that word. The arrays are then compacted, and words without a pair leave.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
-LONG = 192
 
 
 class Merges:
@@ -57,56 +53,12 @@ class Merges:
             rank[look[ok]], new[look[ok]] = self.more_rank[at[ok]], self.more_new[at[ok]]
         return rank, new
 
-    def one(self, a: int, b: int):
-        r, n = self.find(np.array([a]), np.array([b]))
-        return int(r[0]), int(n[0])
-
-
-def _merge_long(sym: np.ndarray, table: Merges) -> np.ndarray:
-    sym = sym.copy()
-    n = len(sym)
-    rank, _ = table.find(sym[:-1], sym[1:])
-    heap = [(int(r), i, int(sym[i]), int(sym[i + 1])) for i, r in enumerate(rank) if r != NONE]
-    heapq.heapify(heap)
-    nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), np.ones(n, bool)
-    memo: dict = {}
-
-    def known(a, b):
-        if (a, b) not in memo:
-            memo[a, b] = table.one(a, b)
-        return memo[a, b]
-
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = nxt[i]
-        if not alive[i] or j >= n or sym[i] != a or sym[j] != b:
-            continue
-        sym[i] = known(a, b)[1]
-        alive[j] = False
-        nxt[i] = nxt[j]
-        if nxt[i] < n:
-            prv[nxt[i]] = i
-        for x, y in ((prv[i], i), (i, nxt[i])):
-            if x >= 0 and y < n and (r := known(int(sym[x]), int(sym[y]))[0]) != NONE:
-                heapq.heappush(heap, (r, x, int(sym[x]), int(sym[y])))
-    return sym[alive]
-
 
 def merge_rounds(sym: np.ndarray, lens: np.ndarray, table: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of words laid end to end, and the words' lengths, to those after all merges."""
-    n = len(lens)
-    wid = np.repeat(np.arange(n), lens)
+    wid = np.repeat(np.arange(len(lens)), lens)
     out_lens = lens.copy()
     done_sym, done_wid = [], []
-    if len(sym) and lens.max() > LONG:
-        ends = np.cumsum(lens)
-        for w in np.flatnonzero(lens > LONG):
-            got = _merge_long(sym[ends[w] - lens[w] : ends[w]], table)
-            done_sym.append(got)
-            done_wid.append(np.full(len(got), w))
-            out_lens[w] = len(got)
-        short = lens[wid] <= LONG
-        sym, wid = sym[short], wid[short]
     sym = sym.astype(np.int32)
     rank = np.full(len(sym), NONE, np.int32)
     if len(sym) > 1:
@@ -126,9 +78,12 @@ def merge_rounds(sym: np.ndarray, lens: np.ndarray, table: Merges) -> tuple[np.n
             sym, wid, rank, least, size = sym[keep], wid[keep], rank[keep], least[busy], size[busy]
             if not len(sym):
                 break
-        hit = np.flatnonzero(rank == np.repeat(least, size))
-        hit = hit[np.r_[True, wid[hit[1:]] != wid[hit[:-1]]]]
-        sym[hit] = table.find(sym[hit], sym[hit + 1])[1]
+        hit = _leftmost(rank, np.repeat(least, size))
+        new = table.find(sym[hit], sym[hit + 1])[1]
+        if len(hit) > len(size):  # some word has more than one
+            until = _in_turn(hit, new, sym, wid, rank, table)
+            hit, new = hit[until], new[until]
+        sym[hit] = new
         keep = np.ones(len(sym), bool)
         keep[hit + 1] = False
         rank[hit] = NONE
@@ -146,6 +101,59 @@ def merge_rounds(sym: np.ndarray, lens: np.ndarray, table: Merges) -> tuple[np.n
     return sym[np.argsort(wid, kind="stable")], out_lens
 
 
+def _leftmost(rank: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Positions of the words' least pairs; of a run of overlapping ones every second, from its left end."""
+    hit = np.flatnonzero(rank == least)
+    fresh = np.r_[True, np.diff(hit) != 1]
+    run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
+    return hit[(np.arange(len(hit)) - run) % 2 == 0]
+
+
+def _in_turn(hit, new, sym, wid, rank, table: Merges) -> np.ndarray:
+    """Which hits merge in this round: a word's, from the left, through the first whose result makes a
+    pair that ranks no later than the round's, since the queue would take that pair before the next hit."""
+    w = wid[hit]
+    joined = np.r_[False, (hit[1:] == hit[:-1] + 2) & (w[1:] == w[:-1])]  # right after the hit before, which has merged by then
+    before = np.where(joined, np.r_[0, new[:-1]], sym[np.maximum(hit - 1, 0)])
+    has_before = (hit > 0) & (wid[np.maximum(hit - 1, 0)] == w)
+    after = np.minimum(hit + 2, len(sym) - 1)
+    has_after = (hit + 2 < len(sym)) & (wid[after] == w)
+    r1 = np.where(has_before, table.find(before, new)[0], NONE)
+    r2 = np.where(has_after, table.find(new, sym[after])[0], NONE)
+    ahead = np.minimum(r1, r2) <= rank[hit]
+    if not ahead.any():
+        return np.ones(len(hit), bool)
+    seen = np.cumsum(ahead) - ahead
+    first = np.r_[True, w[1:] != w[:-1]]
+    return seen == seen[np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))]
+
+
+def distinct(data: np.ndarray, at: np.ndarray, lens: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words data[at : at + lens] with hashes h: positions of one of each distinct word, and for each
+    word which of them it is. Words with one hash are compared in full, so the hash never decides."""
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    rep = one[which]
+    other = np.flatnonzero(rep != np.arange(len(h)))
+    wrong = lens[other] != lens[rep[other]]
+    look = other[~wrong]
+    if len(look):
+        k = lens[look]
+        unlike = data[ragged(at[look], k)] != data[ragged(at[rep[look]], k)]
+        if unlike.any():
+            wrong[np.flatnonzero(~wrong)[np.unique(np.repeat(np.arange(len(look)), k)[unlike])]] = True
+    if wrong.any():  # of one hash, but another word than its first
+        own: dict = {}
+        more = []
+        for i in other[wrong].tolist():
+            key = data[at[i] : at[i] + lens[i]].tobytes()
+            if key not in own:
+                own[key] = len(one) + len(more)
+                more.append(i)
+            which[i] = own[key]
+        one = np.append(one, more)
+    return one, which
+
+
 def ragged(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices start[0]..start[0]+lens[0]-1, start[1].. and so on."""
     total = int(lens.sum())

@@ -3,22 +3,27 @@ components, and numpy kernels over batches of UTF-8 text."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _own_dir: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a folder of our own if driver and
+    executors are one process; else ValueError, since executors could not read each other's files."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="terrasift-")
     return f"file://{_own_dir}"
@@ -135,6 +140,10 @@ def text_parts(column: pa.Array, limit: int = 1 << 20):
         at = to
 
 
+#: Words of more bytes are hashed by xxhash. A polynomial modulo 2^64 is safe up to there only: from some 1,000 bytes on there are unlike words that it maps to one value whatever its factor.
+LONG_WORD = 256
+
+
 def words(data: np.ndarray, offs: np.ndarray):
     """Hash, start, end and row of each word: runs of bytes that are not ASCII white space, A-Z lowered."""
     n = len(data)
@@ -158,7 +167,10 @@ def words(data: np.ndarray, offs: np.ndarray):
     value *= powers(int(pos.max()) + 1)[pos]
     h = np.add.reduceat(value, start)
     length = np.add.reduceat(solid.astype(np.int64), start)
-    return mix64(h), start, start + length, row
+    h = mix64(h)
+    for i in np.flatnonzero(length > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(LOWER[data[start[i] : start[i] + length[i]]].tobytes())
+    return h, start, start + length, row
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, n: int = 5):

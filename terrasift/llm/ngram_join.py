@@ -1,6 +1,6 @@
 """Jaccard self-join on word shingles with Bayesian candidate pruning.
 
-1. Texts with the same words collapse to one node with a count of its copies.
+1. Texts with the same words (by a SHA-256 of all their words) collapse to one node with a count of its copies.
 2. Nodes that share a MinHash band meet: BANDS bands of ROWS values, so a pair at similarity s
    shares none with probability (1 - s**ROWS)**BANDS, 1.3e-7 at 0.8 and less above. Members of
    a bucket are linked to its least node only, which keeps the edges linear in the input, and
@@ -8,7 +8,7 @@
 3. A component's nodes are compared in blocks of bounded size. MinHash values are compared in
    steps; a pair is dropped as soon as the posterior probability (uniform prior) that its
    similarity reaches the threshold falls below TOLERANCE. What remains is verified exactly on
-   the shingle sets. A block gives a row for each node (its number of links and the least node
+   the shingle sets, whose words are compared in full. A block gives a row for each node (its number of links and the least node
    it reaches inside the block), never pairs, so nothing written grows with a group's square.
 4. Components of the verified links are the classes.
 
@@ -20,15 +20,16 @@ share a class. No cap is set on buckets, components or partners.
 
 from __future__ import annotations
 
+import hashlib
 from fractions import Fraction
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Table, connected_components, mix64, saved, shingles, text_parts, words
+from .bpe import distinct
+from .common import LOWER, SPACE, Table, connected_components, free_name, mix64, saved, shingles, text_parts, words
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -81,16 +82,35 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
+def exact_shingles(word: np.ndarray, row: np.ndarray, n_rows: int, n: int) -> list:
+    """Of words given as numbers (equal numbers, equal words), each row's sorted distinct runs of n, as numbers that
+    are equal only for equal runs; a row of 1 to n-1 words has one run, of them all."""
+    run, base = word, int(word.max(initial=0)) + 1
+    for j in range(1, n):
+        run = np.unique(run[:-1] * base + word[j:], return_inverse=True)[1] if len(run) > 1 else run[:0]
+    own = row[: len(run)]
+    full = own == row[n - 1 :][: len(own)]
+    run, own = run[full], own[full]
+    ends = np.searchsorted(own, np.arange(n_rows + 1))
+    whole = np.searchsorted(row, np.arange(n_rows + 1))
+    short: dict = {}
+    out = []
+    for i in range(n_rows):
+        k = whole[i + 1] - whole[i]
+        if 0 < k < n:
+            out.append(np.array([-1 - short.setdefault(tuple(word[whole[i] : whole[i + 1]].tolist()), len(short))]))
+        else:
+            out.append(np.unique(run[ends[i] : ends[i + 1]]))
+    return out
+
+
 def _sets(texts: pa.Array, n: int):
-    """Sorted distinct shingles of each text, and signatures."""
-    sets, sigs = [], []
-    for _, data, offs in text_parts(texts):
-        h, _, _, row = words(data, offs)
-        s, r = shingles(h, row, len(offs) - 1, n)
-        sigs.append(signatures(s, r, len(offs) - 1))
-        ends = np.searchsorted(r, np.arange(len(offs)))
-        sets += [np.unique(s[ends[i] : ends[i + 1]]) for i in range(len(offs) - 1)]
-    return sets, np.concatenate(sigs)
+    """Sorted distinct shingles of each text, exact, and signatures."""
+    _, data, offs = next(text_parts(texts, 1 << 62))
+    h, start, end, row = words(data, offs)
+    s, r = shingles(h, row, len(offs) - 1, n)
+    word = distinct(LOWER[data], start, end - start, h)[1] if len(h) else h.astype(np.int64)
+    return exact_shingles(word, row, len(offs) - 1, n), signatures(s, r, len(offs) - 1)
 
 
 def _links(sets: list, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -195,28 +215,30 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
     def sketch(batches):
         for batch in batches:
             ids = batch.column(0)
-            f1, f2, size, bands = [], [], [], []
+            same, size, bands = [], [], []
             for at, data, offs in text_parts(batch.column(1)):
-                h, _, _, row = words(data, offs)
+                h, start, end, row = words(data, offs)
                 s, r = shingles(h, row, len(offs) - 1, n)
                 keys = band_keys(signatures(s, r, len(offs) - 1))
-                ends = np.searchsorted(row, np.arange(len(offs)))
+                solid = ~SPACE[data]
+                letters, upto = LOWER[data[solid]], np.append(0, np.cumsum(solid))[offs]
+                lens, ends = (end - start).astype("<i8"), np.searchsorted(row, np.arange(len(offs)))
                 for i in range(len(offs) - 1):
-                    own = h[ends[i] : ends[i + 1]]
-                    d = xxhash.xxh3_128_intdigest(own.tobytes()) if len(own) else None
-                    f1.append(None if d is None else (d >> 64) - (1 << 63))
-                    f2.append(None if d is None else (d & ((1 << 64) - 1)) - (1 << 63))
+                    own = hashlib.sha256(lens[ends[i] : ends[i + 1]].tobytes())
+                    own.update(letters[upto[i] : upto[i + 1]].tobytes())
+                    some = ends[i] < ends[i + 1]
+                    same.append(own.digest() if some else None)
                     size.append(int(offs[i + 1] - offs[i]))
-                    bands.append(keys[i] if len(own) else None)
+                    bands.append(keys[i] if some else None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "f1", "f2", "size", "bands"])
+                [ids, pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "words", "size", "bands"])
 
-    drawn = Table(src.mapInArrow(sketch, "doc_id long, f1 long, f2 long, size long, bands array<long>"), "sketches")
+    drawn = Table(src.mapInArrow(sketch, "doc_id long, words binary, size long, bands array<long>"), "sketches")
     nodes = Table(
-        drawn.df.where("doc_id is not null and f1 is not null").groupBy("f1", "f2")
+        drawn.df.where("doc_id is not null and words is not null").groupBy("words")
         .agg(F.min(F.struct("doc_id", "size", "bands")).alias("least"), F.count(F.lit(1)).alias("copies"))
-        .select("f1", "f2", "copies", F.col("least.doc_id").alias("node"), "least.size", "least.bands"), "nodes")
+        .select("words", "copies", F.col("least.doc_id").alias("node"), "least.size", "least.bands"), "nodes")
     keys = nodes.df.select("node", F.explode("bands").alias("key"))
     hubs = Table(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far").select("key", "hub"), "hubs")
     # A node's hubs (BANDS at most) hang on the least of them: a few edges for a whole group, where nodes share their hubs.
@@ -263,11 +285,11 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
     classes = connected_components(found.df.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = found.df.groupBy("node").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     full = Table(
-        nodes.df.select("f1", "f2", "node", "copies").join(counts, "node", "left").join(classes, "node", "left")
-        .select("f1", "f2", F.coalesce("component", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        nodes.df.select("words", "node", "copies").join(counts, "node", "left").join(classes, "node", "left")
+        .select("words", F.coalesce("component", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                 F.col("copies").alias("n_copies"), F.coalesce("text_links", F.lit(0)).alias("n_text_links")), "classes")
-    rows = drawn.df.select("doc_id", "f1", "f2").withColumn("own", F.col("doc_id").isNotNull() & F.col("f1").isNotNull())
-    out = rows.where("own").join(full.df, ["f1", "f2"]).select("doc_id", "class_id", "n_links", "n_copies", "n_text_links")
+    rows = drawn.df.select("doc_id", "words").withColumn("own", F.col("doc_id").isNotNull() & F.col("words").isNotNull())
+    out = rows.where("own").join(full.df, "words").select("doc_id", "class_id", "n_links", "n_copies", "n_text_links")
     alone = rows.where("not own").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_text_links"))
     return out.unionByName(alone)
@@ -275,5 +297,6 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
 
 def near_dedup(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id is their class's id, and those without an id; df's columns."""
-    gone = saved(similar_classes(df, n, threshold, id_col, text_col).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return df.join(gone.hint("shuffle_hash"), df[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(df, "__gone")
+    gone = saved(similar_classes(df, n, threshold, id_col, text_col).where("class_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return df.join(gone.hint("shuffle_hash"), df[id_col].cast("long") == F.col(name), "left_anti")

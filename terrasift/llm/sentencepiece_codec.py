@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Merges, merge_rounds, ragged
+from .bpe import Merges, distinct, merge_rounds, ragged
 from .common import BYTE_VALUE, mix64, powers, text_parts
 
 SPACE_MARK = "▁"
@@ -143,7 +143,7 @@ class Codec:
         lens = np.diff(np.append(at, len(buf)))
         pos = np.arange(len(buf)) - np.repeat(at, lens)
         h = mix64(np.add.reduceat(BYTE_VALUE[buf] * powers(int(lens.max()))[pos], at) + lens.astype(np.uint64))
-        _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        one, which = distinct(buf, at, lens, h)
         ids, n = self._words(buf[ragged(at[one], lens[one])], lens[one])
         begin = np.cumsum(n) - n
         out = ids[ragged(begin[which], n[which])]

@@ -1,12 +1,12 @@
 """Token counts by compiled finite-state transducers.
 
-The tokenizer file is compiled into two machines. The scanner is a deterministic transducer
-over character classes whose transitions say whether a pre-token starts; texts are cut into
-chunks of equal length, each chunk's map from entry state to exit state is built for all
-chunks at once, the maps are composed by a parallel prefix scan, and a second pass from the
-now known entry states emits the starts. The word machine is compiled as far as a batch needs
-it: the transition that ends a word carries the number of tokens that the merges leave of it,
-found once for each distinct word, and a text's count is the sum over its words.
+The tokenizer file is compiled into two machines, both deterministic transducers. The scanner
+reads character classes; its transitions say whether a pre-token starts. Texts are cut into
+chunks of equal length, each chunk's map from entry state to exit state is built for all chunks
+at once, the maps are composed by a parallel prefix scan, and a second pass from the now known
+entry states emits the starts. The word machine (word_machine.py) reads the words' bytes; its
+transitions carry the number of tokens that a prefix gains, so a text's count is the sum of
+what is emitted over it. No word is merged or hashed on the way.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe import Merges, merge_rounds, ragged
-from .common import mix64, powers
+from .word_machine import WordMachine
 
 CHUNK = 64
 #: Character classes: white space, letter, number, other, apostrophe, and the letters of contractions ('s 't 'm 'd, 're 've, 'll).
@@ -33,6 +32,7 @@ OUT, IN_LETTERS, IN_OTHERS, QUOTE, QUOTE_RV, QUOTE_L = range(6)
 STARTS, UNDOES = 1, 2
 #: Letters whose lower case Python's tables lack or choose by context.
 LOWERED = {0x3A3: 0x3C3, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_ODD = re.compile("[" + "".join(map(chr, LOWERED)) + "]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -96,16 +96,14 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         ids = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        a, b, new = ([ids[p[0]] for p in pairs], [ids[p[1]] for p in pairs], [ids[p[0] + p[1]] for p in pairs])
-        rank: dict = {}
-        for r, k in enumerate(zip(a, b)):
-            rank[k] = r  # of a repeated merge the last counts
-        take = sorted(rank.values())
-        self.merges = Merges(*(np.array(x)[take] for x in (a, b)), np.array(take, np.int32), np.array(new, np.int32)[take])
+        rank = {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(pairs)}  # of a repeated merge the last counts
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(sorted({*range(256)} - {*plain}))}
-        self.inner = np.array([ids[shown[x]] for x in range(256)], np.int32)
-        self.final = np.array([ids[shown[x] + "</w>"] for x in range(256)], np.int32)
+        single = {x: ids[shown[x]] for x in range(256)} | {256 + x: ids[shown[x] + "</w>"] for x in range(256)}
+        pieces = {t: (s,) for s, t in single.items()}
+        for (a, b), (_, t) in sorted(rank.items(), key=lambda kv: kv[1]):
+            pieces.setdefault(t, pieces[a] + pieces[b])
+        self.words = WordMachine(pieces, rank, single)
         kinds = np.full(0x110000, OTHER, np.uint8)
         for c in range(0x20000, 0x110000):  # planes that have grown since the tokenizer's tables
             if (k := unicodedata.category(chr(c))[0]) in "LN":
@@ -120,16 +118,6 @@ class Counter:
         self.kinds = kinds
         self.to, self.out = scanner()
 
-    def _word_tokens(self, cp: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        data = np.frombuffer(cp.astype("<u4").tobytes().decode("utf-32-le", "replace").encode(), np.uint8)
-        width = np.where(cp < 0x80, 1, np.where(cp < 0x800, 2, np.where(cp < 0x10000, 3, 4)))
-        ends = np.cumsum(lens)
-        size = np.add.reduceat(width, ends - lens)
-        sym = self.inner[data]
-        last = np.cumsum(size) - 1
-        sym[last] = self.final[data[last]]
-        return merge_rounds(sym, size, self.merges)[1]
-
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         total = np.zeros(len(texts), np.int64)
@@ -143,7 +131,7 @@ class Counter:
             for x in own:
                 if x:
                     x = x if x.isascii() or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x)
-                    parts.append(x.translate(LOWERED).lower())
+                    parts.append((x.translate(LOWERED) if _ODD.search(x) else x).lower())
                     owner.append(i)
         if not parts:
             return total
@@ -156,19 +144,15 @@ class Counter:
         at = np.flatnonzero(starts)
         if not len(at):
             return total
-        solid = cls != SPACE
-        upto = np.append(at[1:], len(cp))
-        pos = np.arange(len(cp))
-        pos[at[0] :] -= np.repeat(at, upto - at)
-        value = np.where(solid, mix64(cp.astype(np.uint64) + np.uint64(1)) | np.uint64(1), 0).astype(np.uint64)
-        value[: at[0]] = 0
-        pos[: at[0]] = 0
-        lens = np.add.reduceat(solid.astype(np.int64), at)
-        h = np.add.reduceat(value * powers(int(pos.max()) + 1)[pos], at) + lens.astype(np.uint64)
-        _, one, which = np.unique(mix64(h), return_index=True, return_inverse=True)
-        n = self._word_tokens(cp[ragged(at[one], lens[one])], lens[one])
-        doc = np.asarray(owner)[np.searchsorted(begin, at, "right") - 1]
-        return total + np.bincount(doc, n[which], len(texts)).astype(np.int64)
+        starts = starts[cls != SPACE]
+        cp, doc = cp[cls != SPACE], np.repeat(np.asarray(owner), np.diff(np.append(begin, len(cp))))[cls != SPACE]
+        width = np.where(cp < 0x80, 1, np.where(cp < 0x800, 2, np.where(cp < 0x10000, 3, 4)))
+        symbols = np.frombuffer(cp.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8).astype(np.int16)
+        ends = np.cumsum(width)
+        symbols[ends[np.append(np.flatnonzero(starts)[1:], len(cp)) - 1] - 1] += 256  # the last byte of each word
+        upto = np.append(0, np.cumsum(self.words.count(symbols)))[ends]
+        before = np.append(0, upto)[np.searchsorted(doc, np.arange(len(texts)))]
+        return total + np.append(0, upto)[np.searchsorted(doc, np.arange(len(texts)), "right")] - before
 
 
 _counters: dict[str, Counter] = {}

@@ -84,3 +84,19 @@ def test_odd_rows(spark):
 def test_pruning_bound():
     need = least_matches(0.8, 1e-9)
     assert need[20] < need[100] < need[200] < 160
+
+
+def thue(n, a, b):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_words_that_a_polynomial_hash_cannot_tell_apart(spark):
+    a, b = thue(1024, "a", "b"), thue(1024, "b", "a")
+    rows = [(1, a, "x"), (2, b, "x"), (3, f"one two three four {a}", "x"), (4, f"one two three four {b}", "x"), (5, a.upper(), "x")]
+    got = similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {g.doc_id: (g.class_id, g.n_copies) for g in got} == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (1, 2)}
+    clash = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("class_id", "__gone")
+    assert sorted(r.doc_id for r in near_dedup(clash).collect()) == [1, 2, 3, 4]

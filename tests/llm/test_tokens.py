@@ -60,3 +60,60 @@ def test_operators_on_odd_rows(spark):
         assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
     assert {r.decoded_sha256 for r in e if r.doc_id == 2} == {hashlib.sha256(b"a b").hexdigest()}
     assert count_tokens(df.limit(0), public.path("word_bpe_49k.json")).count() == 0
+
+
+def thue(n, a, b):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_words_that_a_polynomial_hash_cannot_tell_apart():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from terrasift.llm.sentencepiece_codec import Codec
+    from terrasift.llm.token_counts import Counter
+    texts = [thue(1024, "a", "b"), thue(1024, "b", "a")]
+    texts.append(" ".join(texts))
+    path = public.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    assert Counter(path).count(texts).tolist() == [len(lib.encode(t).ids) for t in texts]
+    path = public.path("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), Codec(path)
+    raw = [t.encode() for t in texts]
+    ids, n = own.encode_part(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    ends = np.cumsum(n)
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == lib.encode(texts)
+
+
+def test_distinct_compares_words_and_not_hashes():
+    from terrasift.llm.bpe import distinct
+    words = [b"ab", b"ba", b"ab", b"abc", b"ba", b"c"]
+    lens = np.array([len(w) for w in words])
+    one, which = distinct(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lens) - lens, lens, np.zeros(6, np.uint64))
+    assert [words[one[i]] for i in which] == words and len(one) == 4
+
+
+def test_word_machine_is_the_merge_queue_and_starts_over(monkeypatch):
+    """Against merging one pair after another, with words longer than a chunk and a machine that forgets."""
+    from terrasift.llm import word_machine
+    r = random.Random(3)
+    single = {s: i for i, s in enumerate([97, 98, 99, 256 + 97, 256 + 98, 256 + 99])}
+    pieces, merges = {i: (s,) for s, i in single.items()}, {}
+    while len(merges) < 60:
+        a, b = r.choice(list(pieces)), r.choice(list(pieces))
+        if pieces[a][-1] < 256 and (a, b) not in merges and len(pieces[a]) + len(pieces[b]) < 7 and pieces[a] + pieces[b] not in pieces.values():
+            machine = word_machine.WordMachine(pieces, merges, single)
+            if machine.beside(a, b):  # as training does: a pair that stands side by side
+                merges[a, b] = (len(merges), len(pieces))
+                pieces[len(pieces)] = pieces[a] + pieces[b]
+    machine = word_machine.WordMachine(pieces, merges, single)
+    monkeypatch.setattr(word_machine, "MOST", 50)
+    for _ in range(3):
+        words = ["".join(r.choice("abc") for _ in range(r.choice([1, 2, 5, 9, 300]))) for _ in range(80)]
+        symbols = np.concatenate([np.array([*w[:-1].encode(), 256 + ord(w[-1])]) for w in words])
+        ends = np.cumsum([len(w) for w in words])
+        sums = np.append(0, np.cumsum(machine.count(symbols)))[ends]
+        assert np.diff(np.append(0, sums)).tolist() == [len(machine.merged((*w[:-1].encode(), 256 + ord(w[-1])))) for w in words]

@@ -17,6 +17,9 @@ sorted only as deep as that takes, by passes from the most significant digit on:
 Groups are formed by counting with partial aggregation and by joins that adaptive execution can
 split, so a passage in a third of all texts gathers nowhere. Equal members of a group send one of
 them on. Groups are compared by 128 bits of hash.
+
+The same passes run over words: WORDS of them in a row that also start anywhere else are a repeated
+passage, whatever its bytes. That is reported beside the removal and removes nothing.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import ragged
-from .common import BYTE_VALUE, STEP, Table, mix64, powers, text_parts
+from .common import BYTE_VALUE, STEP, Table, mix64, powers, text_parts, words
 
 LENGTH, K = 400, 96
 DIGITS = (64, 8, 1)
+#: Of passages, in words: the window, its K-gram and the digits.
+WORDS, WORDS_K = 50, 12
+WORD_DIGITS = (8, 1)
 _inverse = np.ones(1, np.uint64)
 
 
@@ -47,16 +53,33 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _inverse
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K):
-    """Row, anchor, first and last window start (all within data) and K-gram hash of each bundle."""
+def byte_symbols(column: pa.Array):
+    """Yields (first row, a value for each symbol, the symbols' bytes, offsets) over runs of rows; symbols are bytes."""
+    for at, data, offs in text_parts(column):
+        yield at, BYTE_VALUE[data], data.tobytes(), offs
+
+
+def word_symbols(column: pa.Array):
+    """The same of words: runs of bytes other than ASCII white space, A-Z lowered, of which a hash of 8 bytes stands for each."""
+    for at, data, offs in text_parts(column):
+        h, _, _, row = words(data, offs)
+        yield at, h, h.astype("<u8").tobytes(), np.searchsorted(row, np.arange(len(offs)))
+
+
+#: (symbols of texts, bytes of a symbol, digits)
+BYTES, PASSAGES = (byte_symbols, 1, DIGITS), (word_symbols, 8, WORD_DIGITS)
+
+
+def anchors(values: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K):
+    """Row, anchor, first and last window start (all within values) and K-gram hash of each bundle."""
     size = np.diff(offs)
     rows = np.flatnonzero(size >= length)
     z = np.zeros(0, np.int64)
     if not len(rows):
         return z, z, z, z, np.zeros(0, np.uint64)
-    n = len(data)
+    n = len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(n)[:n], out=sums[1:])
+    np.cumsum(values * powers(n)[:n], out=sums[1:])
     h = mix64((sums[k:] - sums[:-k]) * _inverse_powers(n)[: n - k + 1])
     low = ((h >> np.uint64(32)) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
     width, span = length - k + 1, 1
@@ -78,32 +101,38 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _sample(length: int, k: int):
+def _sample(kind: tuple, length: int, k: int):
+    symbols, width, _ = kind
+
     def run(batches):
         for batch in batches:
             d1, d2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for at, data, offs in text_parts(batch.column(0)):
-                row, p, s1, s2, hk = anchors(data, offs, length, k)
+            for at, values, raw, offs in symbols(batch.column(0)):
+                row, p, s1, s2, hk = anchors(values, offs, length, k)
                 if not len(row):
                     continue
-                raw, base = memoryview(data.tobytes()), offs[row]
-                hh = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(s1.tolist(), (s2 + length).tolist())]
+                raw, base = memoryview(raw), offs[row]
+                hh = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((width * s1).tolist(), (width * (s2 + length)).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d1[at + row]), pa.array(d2[at + row]), *(pa.array((x - base).astype(np.int32)) for x in (p, s1, s2)), _signed(hk), _signed(hh)],
                     ["d1", "d2", "p", "s1", "s2", "hk", "hh"])
     return run
 
 
-def _contexts(length: int):
+def _contexts(kind: tuple, length: int):
+    symbols, width, _ = kind
+
     def run(batches):
         for batch in batches:
-            text, spots = batch.column(0), batch.column(1)
+            spots = batch.column(1)
             out: list[list] = [[] for _ in range(6)]
-            for t, many in zip(text, spots):
-                raw = (t.as_py() or "").encode()
-                for s in many.as_py():
-                    for o, x in zip(out, (s["hk"], s["hh"], s["p"] - s["s1"], s["s2"] - s["s1"], s["open"], raw[s["s1"] : s["s2"] + length])):
-                        o.append(x)
+            for at, _, raw, offs in symbols(batch.column(0)):
+                raw = memoryview(raw)
+                for i, base in enumerate(offs[:-1].tolist()):
+                    for s in spots[at + i].as_py():
+                        ctx = bytes(raw[width * (base + s["s1"]) : width * (base + s["s2"] + length)])
+                        for o, x in zip(out, (s["hk"], s["hh"], s["p"] - s["s1"], s["s2"] - s["s1"], s["open"], ctx)):
+                            o.append(x)
             q = np.array(out[2], np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(q), pa.array(q - np.array(out[3], np.int32)), pa.array(q), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.binary())],
@@ -111,8 +140,10 @@ def _contexts(length: int):
     return run
 
 
-def _digits(length: int, b: int):
-    """Rows of the blocks of b suffixes of each open or providing range lo..hi; o counts bytes from a window's start to its anchor."""
+def _digits(kind: tuple, length: int, b: int):
+    """Rows of the blocks of b suffixes of each open or providing range lo..hi; o counts symbols from a window's start to its anchor."""
+    w = kind[1]
+
     def run(batches):
         for batch in batches:
             hk, hh, q, lo, hi, op = (batch.column(c).to_pylist() for c in ("hk", "hh", "q", "lo", "hi", "open"))
@@ -127,8 +158,8 @@ def _digits(length: int, b: int):
                     out[2].append(o1)
                     out[3].append(o2)
                     out[4].append(op[i])
-                    out[5].append(xxhash.xxh3_64_intdigest(ctx[core : core - b + 1 + length], j * 128 + b))
-                    out[6].append(xxhash.xxh3_64_intdigest(ctx[q[i] - o2 : q[i] - o1 + length], o1 * 4096 + o2 + (1 << 40)))
+                    out[5].append(xxhash.xxh3_64_intdigest(ctx[w * core : w * (core - b + 1 + length)], j * 128 + b))
+                    out[6].append(xxhash.xxh3_64_intdigest(ctx[w * (q[i] - o2) : w * (q[i] - o1 + length)], o1 * 4096 + o2 + (1 << 40)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.bool_()), _signed(out[5]), _signed(out[6])],
                 ["hk", "hh", "o1", "o2", "open", "c", "h"])
@@ -141,11 +172,11 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _marks(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(d1, d2, spans): for each distinct text with repeated windows, the byte ranges they cover, unordered and overlapping."""
+def _marks(docs: DataFrame, kind: tuple, length: int, k: int) -> DataFrame:
+    """(d1, d2, spans): for each distinct text with repeated windows, the ranges of symbols they cover, unordered and overlapping."""
     spark = docs.sparkSession
-    texts = docs.where(F.octet_length("text") >= length).withColumn("rid", F.coalesce("doc_id", F.lit(-1)))
-    a = Table(texts.select("text", "d1", "d2").mapInArrow(_sample(length, k), "d1 long, d2 long, p int, s1 int, s2 int, hk long, hh long"), "anchors")
+    texts = docs.where(F.octet_length("text") >= (length if kind is BYTES else 2 * length - 1)).withColumn("rid", F.coalesce("doc_id", F.lit(-1)))
+    a = Table(texts.select("text", "d1", "d2").mapInArrow(_sample(kind, length, k), "d1 long, d2 long, p int, s1 int, s2 int, hk long, hh long"), "anchors")
     kept = Table(a.df.groupBy("hk").count().where("count > 1").select("hk"), "anchor-keys")
     s = Table(a.df.join(kept.df, "hk"), "bundles")
     a.drop()
@@ -162,13 +193,13 @@ def _marks(docs: DataFrame, length: int, k: int) -> DataFrame:
     lender = texts.groupBy("d1", "d2").agg(F.min("rid").alias("rid"))  # of a text's copies one is read
     spots = Table(spots.join(lender, ["d1", "d2"]), "spots")
     one = texts.select("d1", "d2", "rid", "text").join(spots.df, ["d1", "d2", "rid"])
-    contexts = Table(one.select("text", "spots").mapInArrow(_contexts(length), "hk long, hh long, q int, lo int, hi int, open boolean, ctx binary"), "contexts")
+    contexts = Table(one.select("text", "spots").mapInArrow(_contexts(kind, length), "hk long, hh long, q int, lo int, hi int, open boolean, ctx binary"), "contexts")
     spots.drop()
     del one
     _free(spark)
     parents = contexts.df
-    for b in (b for b in DIGITS if b == 1 or 2 * b <= length):
-        rows = parents.mapInArrow(_digits(length, b), "hk long, hh long, o1 int, o2 int, open boolean, c long, h long")
+    for b in (b for b in kind[2] if b == 1 or 2 * b <= length):
+        rows = parents.mapInArrow(_digits(kind, length, b), "hk long, hh long, o1 int, o2 int, open boolean, c long, h long")
         rows = Table(rows, f"digit-{b}")
         g = Table(rows.df.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("open", "hk", "hh", "o1", "o2")).alias("rep")), f"groups-{b}")
         twice = Table(g.df.where("n > 1").select("c", "h"), f"same-{b}")
@@ -186,21 +217,27 @@ def _marks(docs: DataFrame, length: int, k: int) -> DataFrame:
     return Table(every.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "marks").df
 
 
+def _merged(many) -> list[list[int]]:
+    """Overlapping and touching ranges (a list of structs a, b, or null) made one, in order."""
+    merged: list[list[int]] = []
+    if many.is_valid:
+        st = many.values
+        got = np.stack([st.field("a").to_numpy(), st.field("b").to_numpy()], 1)
+        for x, y in got[np.argsort(got[:, 0], kind="stable")].tolist():
+            if merged and x <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], y)
+            else:
+                merged.append([x, y])
+    return merged
+
+
 def _cut(with_spans: bool):
     def run(batches):
         for batch in batches:
-            n_bytes, gone, runs, sha, spans = [], [], [], [], []
-            for t, many in zip(batch.column(1), batch.column(2)):
+            n_bytes, gone, runs, sha, spans, said = [], [], [], [], [], []
+            for t, many, passages in zip(batch.column(1), batch.column(2), batch.column(3)):
                 raw = (t.as_py() or "").encode()
-                merged: list[list[int]] = []
-                if many.is_valid:
-                    st = many.values
-                    got = np.stack([st.field("a").to_numpy(), st.field("b").to_numpy()], 1)
-                    for x, y in got[np.argsort(got[:, 0], kind="stable")].tolist():
-                        if merged and x <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], y)
-                        else:
-                            merged.append([x, y])
+                merged = _merged(many)
                 keep, at = hashlib.sha256(), 0
                 for x, y in merged:
                     keep.update(raw[at:x])
@@ -210,9 +247,10 @@ def _cut(with_spans: bool):
                 gone.append(sum(y - x for x, y in merged))
                 runs.append(len(merged))
                 sha.append(keep.hexdigest())
+                said.append(sum(y - x for x, y in _merged(passages)))
                 spans.append([{"start": x, "stop": y} for x, y in merged])
-            cols = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, gone, runs)), pa.array(sha, pa.string()), pa.array(said, pa.int64())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"]
             if with_spans:
                 cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))
                 names.append("spans")
@@ -220,16 +258,21 @@ def _cut(with_spans: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (and the removed byte ranges, if asked for).
+def remove_repeats(df: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False,
+                   n_words: int = WORDS, words_k: int = WORDS_K) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_repeated_words of every row (and the removed byte ranges, if asked for).
 
-    Null is the empty text; texts under `length` bytes lose nothing. Rows with equal texts,
-    repeated rows too, are each other's copies and lose everything from `length` bytes on.
-    Null ids stay null. Matches never cross rows.
+    n_repeated_words counts the words inside runs of `n_words` words that also start anywhere else; it is
+    a finding only and removes nothing. Null is the empty text; texts under `length` bytes lose nothing.
+    Rows with equal texts, repeated rows too, are each other's copies and lose everything from `length`
+    bytes on. Null ids stay null. Matches never cross rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("d1", F.xxhash64("text")).withColumn("d2", F.xxhash64(F.lit(7), "text"))
-    marks = _marks(docs, length, k)
+    marks = _marks(docs, BYTES, length, k)
+    _free(df.sparkSession)
+    passages = _marks(docs, PASSAGES, n_words, words_k)
     _free(df.sparkSession)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start:long,stop:long>>" if with_spans else "")
-    return docs.join(marks, ["d1", "d2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_spans), schema)
+    both = marks.withColumnRenamed("spans", "cut").join(passages.withColumnRenamed("spans", "said"), ["d1", "d2"], "full")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long" + (", spans array<struct<start:long,stop:long>>" if with_spans else "")
+    return docs.join(both, ["d1", "d2"], "left").select("doc_id", "text", "cut", "said").mapInArrow(_cut(with_spans), schema)

@@ -30,7 +30,7 @@ def test_stages_chain(spark):
 
 def test_queries_have_stable_columns(spark):
     from terrasift.llm.queries import queries
-    want = {"op1_repeated_spans": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "op2_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    want = {"op1_repeated_spans": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"], "op2_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             "op4_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op8_nearest": ["query_id", "rank", "vec_id", "score"],
             "op9_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op10_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]}
     found = queries()

@@ -2,7 +2,9 @@
 
 Each document gets a uniform number from its seeded hash and a count from the inverse of the
 Poisson distribution at its source's rate, is exploded by that count, and all copies are put
-in one global random order by range-partitioning and sorting on a second hash.
+in one global random order by range-partitioning and sorting on a second hash. A rate above
+MAX_DRAWN_RATE is drawn as the sum of equal independent parts, each from a uniform number of its
+own, which is Poisson of that rate again.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import free_name
 
-#: Rates above this are split: whole copies, plus a Poisson draw of the rest. exp(-20) keeps 9 digits of the uniform number.
+#: Rates above this are drawn in parts that add up: below exp(-20) the uniform number's digits would not do.
 MAX_DRAWN_RATE = 20.0
+#: Copies of one document that one task makes where some source's rate is above this; more go to other tasks.
+COPIES_A_TASK = 2048
 _TERMS = 80
 #: Counted before the join; beyond it the join shuffles, and AQE splits its hot sources.
 BROADCAST_SOURCES = 100_000
@@ -41,8 +45,17 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.when(u <= F.exp(-rate), F.lit(0)).otherwise(found)
 
 
-def source_rates(df: DataFrame, weights: dict[str, float] | None, source_col: str, budget: float, other: float = 0.0) -> tuple[DataFrame, int]:
-    """(source, n_docs, rate) and how many sources there are: rate = budget * N * weight share / n_docs, so a source's expected
+def poisson_count(seed: str, ident: Column, rate: Column) -> Column:
+    """A Poisson draw at any rate, the same for one seed and ident."""
+    parts = F.greatest(F.ceil(rate / MAX_DRAWN_RATE), F.lit(1)).cast("int")
+    first = uniform(F.lit(seed), ident)
+    later = lambda j: poisson_inverse(uniform(F.lit(seed), ident, j.cast("string")), rate / parts)
+    rest = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda n, j: n + later(j))
+    return poisson_inverse(first, rate / parts) + F.when(parts > 1, rest).otherwise(F.lit(0))
+
+
+def source_rates(df: DataFrame, weights: dict[str, float] | None, source_col: str, budget: float, other: float = 0.0) -> tuple[DataFrame, int, float]:
+    """(source, n_docs, rate), how many sources there are, and the greatest rate: rate = budget * N * weight share / n_docs, so a source's expected
     rows hold its share of budget * N. weights=None: every source alike; a source that is not in
     `weights` gets weight `other`. A null source is a source of its own, named ''."""
     counts = df.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -51,9 +64,9 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None, source_col: st
     else:
         pairs = [F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]
         weighted = counts.withColumn("w", F.coalesce(F.element_at(F.create_map(*pairs), F.col("src")), F.lit(float(other))))
-    sums = weighted.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1))).first()
+    sums = weighted.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.col("w") / F.col("n_docs")), F.lit(0.0))).first()
     rate = F.lit(float(budget) * sums[1] / sums[0]) * F.col("w") / F.col("n_docs") if sums[0] > 0 else F.lit(0.0)
-    return weighted.select("src", "n_docs", rate.alias("rate")), sums[2]
+    return weighted.select("src", "n_docs", rate.alias("rate")), sums[2], float(budget) * sums[1] / sums[0] * sums[3] if sums[0] > 0 else 0.0
 
 
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: str = "mix",
@@ -62,23 +75,26 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, budget:
     rate and shuffle_key (under free names if df has such columns; see `mixed_columns`).
 
     Rows that repeat an id repeat its draw. Null ids draw as 'null'. Texts are not looked at.
-    An empty table gives an empty result.
+    Counts are Poisson at every rate. An empty table gives an empty result.
     """
     names = mixed_columns(df)
     cols = keep_columns or df.columns
-    rates, n_sources = source_rates(df, weights, source_col, budget, other)
-    rates = rates.select(F.col("src").alias("__src"), F.col("rate").alias("__rate"))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    body = df.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"), ident.alias("__id"))
-    rated = body.join(F.broadcast(rates) if n_sources <= BROADCAST_SOURCES else rates, "__src")
-    whole = F.when(F.col("__rate") > MAX_DRAWN_RATE, F.floor(F.col("__rate") - MAX_DRAWN_RATE / 2)).otherwise(F.lit(0)).cast("int")
-    drawn = rated.withColumn("__whole", whole).withColumn("__u", uniform(F.lit(seed), F.col("__id")))
-    drawn = drawn.withColumn("__n", F.col("__whole") + poisson_inverse(F.col("__u"), F.col("__rate") - F.col("__whole"))).where("__n > 0")
-    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    keyed = copies.withColumn("__key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("__id"), F.col("__copy"))))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = keyed.repartitionByRange(n, "__key").sortWithinPartitions("__key", "__id", "__copy")
-    return out.select(*[F.col(f"`{c}`") for c in cols], F.col("__copy").alias(names["copy"]), F.col("__rate").alias(names["rate"]), F.col("__key").alias(names["shuffle_key"]))
+    src, rate, ident, n, copy, key = (free_name(df, f"__{x}") for x in ("src", "rate", "id", "n", "copy", "key"))
+    rates, n_sources, top = source_rates(df, weights, source_col, budget, other)
+    rates = rates.select(F.col("src").alias(src), F.col("rate").alias(rate))
+    body = df.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias(src),
+                     F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias(ident))
+    rated = body.join(F.broadcast(rates) if n_sources <= BROADCAST_SOURCES else rates, src)
+    drawn = rated.withColumn(n, poisson_count(seed, F.col(ident), F.col(rate))).where(F.col(n) > 0)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upto = F.col(n)
+    if top > COPIES_A_TASK:
+        drawn = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n), F.lit(COPIES_A_TASK)))).repartition(parts, ident, copy)
+        upto = F.least(F.col(copy) + (COPIES_A_TASK - 1), upto)
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.col(copy) if top > COPIES_A_TASK else F.lit(1), upto)))
+    keyed = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col(ident), F.col(copy))))
+    out = keyed.repartitionByRange(parts, key).sortWithinPartitions(key, ident, copy)
+    return out.select(*[F.col(f"`{c}`") for c in cols], F.col(copy).alias(names["copy"]), F.col(rate).alias(names["rate"]), F.col(key).alias(names["shuffle_key"]))
 
 
 def mixed_columns(df: DataFrame) -> dict[str, str]:
@@ -87,20 +103,20 @@ def mixed_columns(df: DataFrame) -> dict[str, str]:
 
 #: What the registered query aims at.
 QUERY_WEIGHTS = {f"src{i}": w for i, w in enumerate([4.0, 3.0, 2.0, 2.0] + [1.0] * 16)}
-#: Of a source that is not listed, and of documents without one. (The SQL has 0 there; the given tables have no such rows.)
+#: Of a source that is not listed, and of documents without one.
 OTHER_WEIGHT = 1.0
 
 ORACLE = """
 with recursive w as (select 'src' || i as src, case i when 0 then 4.0 when 1 then 3.0 when 2 then 2.0 when 3 then 2.0 else 1.0 end::double as w from range(20) t(i)),
 c as (select coalesce(source, '') as src, count(*) as n from documents group by 1),
-cw as (select c.src, n, coalesce(w.w, 0) as w from c left join w on w.src = c.src),
+cw as (select c.src, n, coalesce(w.w, 1) as w from c left join w on w.src = c.src),
 r as (select src, 1.0::double * (select sum(n) from cw)::double * w / (select sum(w) from cw) / n as rate from cw),
-p as (select src, rate, 0 as k, exp(-rate) as p, exp(-rate) as cdf from r
-      union all select src, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) from p where k < 80),
-d as (select doc_id, text, lang, source, n_chars, r.rate, r.src,
-             (('0x' || substr(md5('mix|' || doc_id), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u
-      from documents join r on r.src = coalesce(source, '')),
-n as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, d.rate, count(p.k) as n from d join p on p.src = d.src and p.cdf < d.u group by all)
+m as (select src, rate, greatest(ceil(rate / 20), 1)::int as parts, rate / greatest(ceil(rate / 20), 1) as each from r),
+p as (select src, each, 0 as k, exp(-each) as p, exp(-each) as cdf from m
+      union all select src, each, k + 1, p * each / (k + 1), cdf + p * each / (k + 1) from p where k < 80),
+d as (select doc_id, text, lang, source, n_chars, rate, src, unnest(range(1, parts + 1)) as part from documents join m on src = coalesce(source, '')),
+u as (select *, (('0x' || substr(md5('mix|' || doc_id || case part when 1 then '' else '|' || part end), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u from d),
+n as (select u.doc_id, u.text, u.lang, u.source, u.n_chars, u.rate, count(p.k) as n from u join p on p.src = u.src and p.cdf < u.u group by all)
 select doc_id, text, lang, source, n_chars, copy::int as copy, round(rate, 9) as rate, md5('mix|order|' || doc_id || '|' || copy) as shuffle_key
 from (select *, unnest(range(1, n + 1)) as copy from n)
 """

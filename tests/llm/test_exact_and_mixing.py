@@ -96,3 +96,33 @@ def test_odd_sources(spark):
     assert out.columns == ["doc_id", "text", "source", "copy", "rate", "_copy", "_rate", "shuffle_key"]
     assert out.count() >= 1
     assert mixing.mix_sources(df.limit(0), None).count() == 0
+
+
+def test_large_rates_are_poisson(spark):
+    """Rates of 50.5: mean and variance both near it; the sum of three draws of a third each."""
+    rows = [(i, "t", "few", None, 0) for i in range(400)] + [(i, "t", "many", None, 0) for i in range(400, 20_200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = Counter(r.doc_id for r in mixing.mix_sources(df, {"few": 1.0, "many": 0.0}).select("doc_id").collect())
+    n = [got[i] for i in range(400)]
+    rate = 20_200 / 400
+    mean = sum(n) / 400
+    assert abs(mean - rate) < 1.5 and 0.75 * rate < sum((x - mean) ** 2 for x in n) / 399 < 1.3 * rate
+    for i in range(400):
+        us = [(int(hashlib.md5(x.encode()).hexdigest()[:12], 16) + 0.5) / 2**48 for x in (f"mix|{i}", f"mix|{i}|2", f"mix|{i}|3")]
+        assert got[i] == sum(poisson_count(rate / 3, u) for u in us)
+
+
+def test_one_document_of_a_heavy_source_is_copied_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES_A_TASK", 32)
+    df = spark.createDataFrame([(1, "a", "x", None, 0), *[(i, "c", "y", None, 0) for i in range(2, 202)]], SCHEMA)
+    out = mixing.mix_sources(df, {"x": 1.0, "y": 0.0}).collect()
+    assert {r.doc_id for r in out} == {1} and sorted(r.copy for r in out) == list(range(1, len(out) + 1)) and 140 < len(out) < 270
+
+
+def test_columns_named_like_the_inner_ones(spark):
+    df = spark.createDataFrame([(i, "t", "s", "a", i) for i in range(30)], SCHEMA)
+    want = sorted(r.doc_id for r in mixing.mix_sources(df, None).collect())
+    for name in ("__src", "__rate", "__id", "__n", "__copy", "__key"):
+        out = mixing.mix_sources(df.withColumnRenamed("rn", name), None)
+        assert name in out.columns and sorted(r.doc_id for r in out.collect()) == want
+        assert all(r[name] == r.doc_id for r in out.collect())

@@ -127,3 +127,29 @@ def test_licences(spark):
     assert scan_licenses(df).count() == len(rows)
     assert scan_licenses(df.limit(0)).count() == 0
     assert math.isclose(1.0, [g for g in scan_licenses(df).collect() if g.doc_id == 1][0].score, abs_tol=1e-6)
+
+
+def test_neighbours_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>, v string"
+    bad = spark.createDataFrame([(0, None, "a"), (50, [0.0, 0.0], "a"), (100, [float("nan"), 1.0], "b")], schema)
+    assert nearest.nearest_neighbours(bad).count() == 0
+    rows = [(i, [1.0, 2.0], "same") for i in range(300)] + [(1000, [2.0, 4.0], "same way"), (1001, [2.0, -1.0], "across"), (2000, [1.0, 0.0, 0.0], "longer"), (2001, [1.0, 0.1, 0.0], "longer")]
+    df = spark.createDataFrame(rows, schema)
+    got = nearest.nearest_neighbours(df)
+    got = {q: [(g.vec_id, round(g.score, 9)) for g in sorted(got.where(f"query_id = {q}").collect(), key=lambda g: g["rank"])] for q in (0, 50, 1000, 2000)}
+    assert got[0] == [(i, 1.0) for i in (1, 2, 3, 4, 5)] and got[50] == got[1000] == [(i, 1.0) for i in (0, 1, 2, 3, 4)]
+    assert [i for i, _ in got[2000]] == [2001]
+    asked = nearest.nearest_neighbours(df, k=2, queries=spark.createDataFrame([(1001, [2.0, -1.0], ""), (-5, [1.0, 0.0, 0.0], "")], schema)).collect()
+    assert sorted((g.query_id, g["rank"], g.vec_id) for g in asked) == [(-5, 1, 2000), (-5, 2, 2001), (1001, 1, 0), (1001, 2, 1)]
+
+
+def test_graphs_recall():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((6000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = nearest.Graph.build(x)
+    q = x[::40]
+    found = g.nearest(q, nearest.EF_SEARCH)
+    s = q @ x.T
+    best = np.argsort(-s, 1)[:, :6]
+    assert np.mean([np.isin(best[i], found[i]).mean() for i in range(len(q))]) > 0.95 and len(g.flat) > 2

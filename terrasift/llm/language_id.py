@@ -8,6 +8,8 @@ distribution over languages, and a document's probabilities are the mean over it
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -114,16 +116,13 @@ def windows(data: np.ndarray, offs: np.ndarray):
     return np.where(live, data[np.minimum(at, max(0, len(data) - 1))], 0).astype(np.uint8) if len(row) else np.zeros((0, WINDOW), np.uint8), n, row
 
 
-def train(texts: list[str], langs: list[str], seed: int = 11) -> tuple[list[str], dict]:
-    """Adam on balanced batches of windows drawn from whole texts."""
+def train(drawn: list[bytes], langs: list[str], seed: int = 11) -> tuple[list[str], dict]:
+    """Adam on balanced batches of windows."""
     names = sorted(set(langs))
     r = np.random.Generator(np.random.PCG64(seed))
     pools: list[list] = [[] for _ in names]
-    for t, lang in zip(texts, langs):
-        b = t.encode()
-        x, n, _ = windows(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
-        take = r.permutation(len(x))[:WINDOWS_PER_DOC]
-        pools[names.index(lang)] += list(zip(x[take], n[take]))
+    for b, lang in zip(drawn, langs):
+        pools[names.index(lang)].append((np.frombuffer(b.ljust(WINDOW, b"\0"), np.uint8), len(b)))
     p = init(len(names))
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     each = max(1, BATCH // len(names))
@@ -181,8 +180,25 @@ def pooled(p: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total / np.maximum(size, 1)[:, None]
 
 
+def cut_windows(batches):
+    """(id, text, label) to at most WINDOWS_PER_DOC windows of each row, drawn over its whole text by the id's CRC."""
+    for batch in batches:
+        out, langs = [], []
+        for at, data, offs in text_parts(batch.column(1)):
+            x, n, row = windows(data, offs)
+            ends = np.searchsorted(row, np.arange(len(offs)))
+            for i in range(len(offs) - 1):
+                r = np.random.Generator(np.random.PCG64(zlib.crc32(batch.column(0)[at + i].as_py().encode())))
+                for j in ends[i] + r.permutation(ends[i + 1] - ends[i])[:WINDOWS_PER_DOC]:
+                    out.append(x[j, : n[j]].tobytes())
+                    langs.append(batch.column(2)[at + i].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(langs, pa.string())], ["w", "l"])
+
+
 def learning_sample(df: DataFrame, id_col: str, text_col: str, label_col: str) -> list:
-    """At most about DOCS_PER_LANGUAGE (text, label) of each label, from rows with a label, a letter and a hash remainder other than 0."""
+    """(window, label) rows: of each label about DOCS_PER_LANGUAGE documents at most and WINDOWS_PER_DOC windows of each, from
+    rows with a label, a letter and a hash remainder other than 0. Windows are cut where the rows are, so the driver gets at
+    most some 1.5 MB a language; of rows with one id and label one is read, however many there are."""
     known = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l")).where(
         "l is not null and i is not null and crc32(i) % 5 <> 0")
     counts = {r["l"]: r["count"] for r in known.groupBy("l").count().limit(10_001).collect()}
@@ -192,7 +208,8 @@ def learning_sample(df: DataFrame, id_col: str, text_col: str, label_col: str) -
         return []
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, DOCS_PER_LANGUAGE / n))]), F.col("l"))
     drawn = known.where(F.conv(F.substring(F.md5(F.concat(F.lit("lang|"), "i")), 1, 12), 16, 10).cast("long") / float(1 << 48) < share)
-    return sorted(((r.t, r.l) for r in drawn.where(F.col("t").rlike(r"\p{L}")).select("t", "l").collect()), key=lambda x: (x[1], x[0]))
+    one = drawn.where(F.col("t").rlike(r"\p{L}")).groupBy("i", "l").agg(F.min("t").alias("t")).select("i", "t", "l")
+    return sorted(((bytes(r.w), r.l) for r in one.mapInArrow(cut_windows, "w binary, l string").collect()), key=lambda x: (x[1], x[0]))
 
 
 def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -203,7 +220,7 @@ def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nothing can be learned. Ties go to the first language in sorted order. Repeated rows repeat.
     """
     sample = learning_sample(df, id_col, text_col, label_col)
-    names, p = train([t for t, _ in sample], [lang for _, lang in sample]) if sample else (["und"], None)
+    names, p = train([w for w, _ in sample], [lang for _, lang in sample]) if sample else (["und"], None)
 
     def run(batches):
         for batch in batches:

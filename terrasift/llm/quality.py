@@ -2,14 +2,16 @@
 
 Two generative models over hashed word n-grams (one and two tokens, BUCKETS buckets) are fitted:
 the target's on documents labelled good, the raw one on all documents. A document's score is its
-log ratio of the two, summed over its n-grams and divided by their number plus PRIOR (so that
-very short texts stay near 0). k documents are drawn without replacement with probabilities
-proportional to exp(SHARPNESS * score), by the Gumbel top-k trick with noise from a seeded hash.
-k is the number of documents whose score reaches the cut that best separates the labelled ones.
+log importance weight, the sum over its n-grams of the log ratio of the two. k documents are drawn
+without replacement with probabilities proportional to their weights, by the Gumbel top-k trick:
+the k greatest of score plus Gumbel noise from a seeded hash. k is a budget, a share of all rows:
+that of labelled documents worth keeping, and SLACK of the others', so that few good ones are lost.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -18,13 +20,11 @@ from .common import BYTE_VALUE, SPACE, free_name, mix64, powers, saved, text_par
 from .mixing import uniform
 
 BUCKETS = 10_000
-#: At most so many labelled documents fit the target model and the cut: those of least hash.
+#: At most so many labelled documents fit the target model and the budget: those of least hash.
 LABELLED = 20_000
-PRIOR = 20.0
-SHARPNESS = 200.0
+#: Of the share of labelled documents that are bad, what the budget leaves room for beside the good ones.
+SLACK = 0.1
 BINS = 2000
-#: A good document lost costs as much as so many bad ones kept.
-GOOD_WEIGHT = 4.0
 
 _KIND = np.full(256, 1, np.uint8)
 _KIND[:128] = [2 if not chr(c).isalnum() and c != 95 else 1 for c in range(128)]
@@ -56,24 +56,25 @@ def features(data: np.ndarray, offs: np.ndarray):
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
-    """(label_id, good): good if every label says quality 1 and not toxic, else only if every one says quality 0; bounded by LABELLED."""
+    """(label_id, fine, good): fine if every label says quality 1, good if none says toxic besides; documents
+    whose labels disagree on quality are left out. Bounded by LABELLED."""
     return (
         labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
         .agg(F.min("quality").alias("q0"), F.max("quality").alias("q1"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-        .select("label_id", F.when((F.col("q0") == 1) & (F.col("t") == 0), 1).when(F.col("q1") == 0, 0).alias("good"))
-        .where("good is not null").orderBy(F.md5(F.col("label_id").cast("string")), "label_id").limit(LABELLED)
+        .where("q0 = 1 or q1 = 0").select("label_id", (F.col("q0") == 1).alias("fine"), ((F.col("q0") == 1) & (F.col("t") == 0)).alias("good"))
+        .orderBy(F.md5(F.col("label_id").cast("string")), "label_id").limit(LABELLED)
     )
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """The log ratio of each bucket, and the labelled sample (saved, at most LABELLED rows)."""
     sample = saved(_labelled(labels), "labelled")
-    flagged = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(sample.where("good = 1")), F.col("i") == F.col("label_id"), "left").select("t", (F.col("good") == 1).alias("g"))
+    flagged = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(sample.where("good")), F.col("i") == F.col("label_id"), "left").select("t", F.coalesce("good", F.lit(False)).alias("g"))
 
     def count(batches):
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in batches:
-            good = np.asarray(batch.column(1).fill_null(False))
+            good = np.asarray(batch.column(1))
             for at, data, offs in text_parts(batch.column(0)):
                 b, row = features(data, offs)
                 raw += np.bincount(b, minlength=BUCKETS)
@@ -101,35 +102,21 @@ def scorer(ratio: np.ndarray):
         for at, data, offs in text_parts(texts):
             b, row = features(data, offs)
             n = len(offs) - 1
-            out[at : at + n] = np.bincount(row, ratio[b], n) / (np.bincount(row, minlength=n) + PRIOR)
+            out[at : at + n] = np.bincount(row, ratio[b], n)
         return pa.array(out)
 
     return score
 
 
-def best_cut(scored: DataFrame, sample: DataFrame) -> float:
-    """The score below which labelled documents are more likely bad; -inf without both kinds.
-    Counts of labelled scores in BINS bins come to the driver, nothing else."""
-    known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    lo, hi = known.agg(F.min("score"), F.max("score")).first()
-    if lo is None or lo == hi:
-        return float("-inf")
-    bins = known.groupBy(F.floor((F.col("score") - lo) / (hi - lo) * BINS).alias("b"), "good").count().collect()
-    good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
-    for r in bins:
-        (good if r.good else bad)[r.b] += r["count"]
-    if not good.sum() or not bad.sum():
-        return float("-inf")
-    lost = np.append(0, np.cumsum(good)) * GOOD_WEIGHT
-    kept = bad.sum() - np.append(0, np.cumsum(bad))
-    cost = lost + kept
-    best = np.flatnonzero(cost == cost.min())
-    return lo + (hi - lo) * float(best[len(best) // 2]) / BINS
+def budget(sample: DataFrame) -> float:
+    """The share of all rows to draw; 1 without labels of both kinds."""
+    fine, every = sample.agg(F.coalesce(F.sum(F.col("fine").cast("int")), F.lit(0)), F.count(F.lit(1))).first()
+    return 1.0 if fine in (0, every) else (fine + SLACK * (every - fine)) / every
 
 
 def gumbel_key(score, ident, seed: str):
     u = uniform(F.lit(seed), F.coalesce(ident.cast("string"), F.lit("null")))
-    return F.lit(SHARPNESS) * score - F.log(-F.log(u))
+    return score - F.log(-F.log(u))
 
 
 def kth_largest(df: DataFrame, key: str, k: int, few: int = 10_000) -> float:
@@ -166,9 +153,8 @@ def select_quality(df: DataFrame, labels: DataFrame, seed: str = "quality", id_c
     score = scorer(ratio)
     scored = saved(df.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col).cast("string")).alias("score"))
                    .withColumn("draw_key", gumbel_key(F.col("score"), F.col("doc_id"), seed)), "scores")
-    cut = best_cut(scored, sample)
-    k = scored.where(F.col("score") >= cut).count() if cut > float("-inf") else None
-    least = float("-inf") if k is None else kth_largest(scored, "draw_key", k)
+    share = budget(sample)
+    least = float("-inf") if share == 1 else kth_largest(scored, "draw_key", ceil(share * scored.count()))
     return scored.withColumn("kept", F.col("draw_key") >= F.lit(least)), ratio, least
 
 

@@ -1,8 +1,11 @@
 """Language identification, quality selection, nearest neighbours, licences."""
 
+import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -67,9 +70,8 @@ def test_quality_selects_what_looks_like_the_target(spark):
     got, _, least = Q.select_quality(df, lab)
     got = got.collect()
     assert len(got) == len(rows)
-    for g in got:
-        if g.doc_id is not None and g.doc_id < 400:
-            assert g.kept == (g.doc_id % 4 > 0)
+    bad = [g.kept for g in got if g.doc_id is not None and g.doc_id < 400 and g.doc_id % 4 == 0]
+    assert all(g.kept for g in got if g.doc_id is not None and g.doc_id < 400 and g.doc_id % 4) and sum(bad) < 0.2 * len(bad)
     kept = Q.quality_filter(df, lab)
     assert kept.columns == df.columns and kept.count() == sum(g.kept for g in got)
     none, _, _ = Q.select_quality(df, lab.limit(0))
@@ -153,3 +155,86 @@ def test_graphs_recall():
     s = q @ x.T
     best = np.argsort(-s, 1)[:, :6]
     assert np.mean([np.isin(best[i], found[i]).mean() for i in range(len(q))]) > 0.95 and len(g.flat) > 2
+
+
+def test_pooled_probabilities_byte_by_byte():
+    """Against one window and one byte at a time, in double precision; short, exact and long texts, one of them empty."""
+    p = L.init(3, seed=8)
+    texts = [b"", b"a", b"x" * L.WINDOW, "é日 mixed text ".encode() * 17, b"tail" * 33]
+    offs = np.append(0, np.cumsum([len(t) for t in texts]))
+    got = L.pooled(p, np.frombuffer(b"".join(texts), np.uint8), offs)
+    h, sig = L.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+
+    def states(window, w, u, b):
+        out, last = [], np.zeros(h)
+        for c in window:
+            a, m = w[c].astype(float), last @ u.astype(float)
+            r, z = sig(a[:h] + m[:h]), sig(a[h : 2 * h] + m[h : 2 * h])
+            last = (1 - z) * np.tanh(a[2 * h :] + r * (m[2 * h :] + b)) + z * last
+            out.append(last)
+        return out
+
+    for t, g in zip(texts, got):
+        every = []
+        for at in range(0, len(t), L.WINDOW):
+            w = t[at : at + L.WINDOW]
+            for f, b in zip(states(w, p["Wf"], p["Uf"], p["bf"]), reversed(states(w[::-1], p["Wb"], p["Ub"], p["bb"]))):
+                e = np.exp(np.concatenate([f, b]) @ p["Wo"].astype(float) + p["bo"])
+                every.append(e / e.sum())
+        assert np.allclose(g, np.mean(every, 0) if every else 0, atol=1e-4)
+
+
+def test_language_ties_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "STEPS", 20)
+    rows = [(1, "same words here", lang) for lang in ("b", "a")] * 50 + [(1, "other", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(L.learning_sample(df, "doc_id", "text", "lang")) == 2  # one row an id and label
+    got = L.identify_languages(df).collect()
+    assert len(got) == 101 and len({(g.lang_pred, g.score) for g in got if g.lang_pred}) <= 2
+    monkeypatch.setattr(L, "train", lambda w, langs: (["a", "b"], {k: v * 0 for k, v in L.init(2).items()}))
+    assert {(g.lang_pred, g.score) for g in L.identify_languages(df).collect()} == {("a", 0.5)}
+
+
+def naive_features(text):
+    """Buckets of tokens and neighbours, with plain integers."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+        return x ^ (x >> 31)
+
+    from terrasift.llm.common import BYTE_VALUE, STEP
+    tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\t-\r\x1c-\x20]+", (text or "").encode())
+    hs = [mix(sum(int(BYTE_VALUE[c]) * pow(int(STEP), i, 1 << 64) for i, c in enumerate(t)) & m) for t in tokens]
+    return [h % Q.BUCKETS for h in hs] + [mix((a * 3 + b) & m) % Q.BUCKETS for a, b in zip(hs, hs[1:])]
+
+
+def test_quality_against_plain_counts(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["ab", "cd!", "é", "f_g", "x-y", "\t", "9"]) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(100, None), (7, "again"), (None, "no id")]
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(40)] + [(0, 1, 0)]
+    got, _, _ = Q.select_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    good = {i for i in range(1, 40) if i % 3 and i % 7}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(naive_features(t))
+        if i in good:
+            target.update(naive_features(t))
+    n_raw, n_target = sum(raw.values()) + Q.BUCKETS, sum(target.values()) + Q.BUCKETS
+    score = [sum(math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in naive_features(t)) for _, t in rows]
+    noise = lambda i: -math.log(-math.log((int(hashlib.md5(f"quality|{'null' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48))
+    key = [s + noise(i) for s, (i, _) in zip(score, rows)]
+    fine = len([i for i in range(1, 40) if i % 3])  # the labels of 0 disagree
+    k = math.ceil((fine + Q.SLACK * (39 - fine)) / 39 * len(rows))
+    least = sorted(key, reverse=True)[k - 1]
+    want = sorted(((i, round(s, 6), round(x, 6), x >= least) for (i, _), s, x in zip(rows, score, key)), key=str)
+    assert sorted(((g.doc_id, round(g.score, 6), round(g.draw_key, 6), g.kept) for g in got.collect()), key=str) == want
+
+
+def test_quality_ties_at_the_last_place(spark):
+    df = spark.createDataFrame([(5, "the same words")] * 40 + [(6, "bad ! bad !")] * 10, "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    got = Q.select_quality(df, labels)[0].groupBy("doc_id", "kept").count().collect()
+    assert {(g.doc_id, g.kept): g["count"] for g in got} == {(5, True): 40, (6, False): 10}
+    assert Q.quality_filter(df.limit(0), labels).count() == 0

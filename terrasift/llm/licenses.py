@@ -24,11 +24,20 @@ THRESHOLD = 0.6
 HEADER = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 WORD = "[a-z0-9]+"
-#: Phrases of well-known licences and their notices, by SPDX identifier.
+#: Titles and notices of well-known licences, versions apart, by SPDX identifier.
 TEMPLATES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Artistic-1.0", "The Artistic License Preamble The intent of this document is to state the conditions under which a Package may be copied"),
+    ("Artistic-2.0", "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
@@ -36,19 +45,43 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC0-1.0", "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights upon the creator"),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
-#: What a window must hold (as words parted by single spaces) to count for a licence.
-NAMED = {"Apache-2.0": "apache", "BSD-3-Clause": "bsd|redistribution and use", "CC-BY-4.0": "creative commons|cc by", "CC-BY-NC-4.0": "creative commons|cc by",
-         "GPL-3.0": "gpl|general public license", "MIT": r"\bmit\b|permission is hereby granted", "MPL-2.0": "mpl|mozilla public"}
+#: What a window must hold (as words parted by single spaces) to count for a licence of the family.
+NAMED = {"AGPL": "agpl|affero general public", "Apache": "apache", "Artistic": "artistic license", "BSD": "bsd|redistribution and use", "CC-BY": "creative commons|cc by", "CC0": r"\bcc0\b|copyright and related rights",
+         "EPL": "epl|eclipse public", "GFDL": "gfdl|free documentation license", "GPL": "gpl|general public license", "ISC": r"\bisc\b|hereby granted provided that", "LGPL": "lgpl|lesser general public|library general public",
+         "MIT": r"\bmit\b|permission is hereby granted", "MPL": "mpl|mozilla public"}
 _CC = r"(cc by|creative commons attribution)"
 _GPL = r"(gpl ?|general public license)( \w+){0,10}? ?v?"
 #: Licences whose words are close to a template's: (template's licence, words that show the template's own, [(words, licence)]).
@@ -88,7 +121,7 @@ def window_shapes() -> list[tuple[int, int]]:
 def named(licence: Column, words: Column) -> Column:
     out = F.lit(False)
     for x, pattern in NAMED.items():
-        out = out | ((licence == x) & words.rlike(pattern))
+        out = out | (licence.rlike(f"^{x}(-|$)") & words.rlike(pattern))
     return out
 
 

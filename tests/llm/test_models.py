@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -238,3 +239,25 @@ def test_quality_ties_at_the_last_place(spark):
     got = Q.select_quality(df, labels)[0].groupBy("doc_id", "kept").count().collect()
     assert {(g.doc_id, g.kept): g["count"] for g in got} == {(5, True): 40, (6, False): 10}
     assert Q.quality_filter(df.limit(0), labels).count() == 0
+
+
+STANDARD = "/usr/share/common-licenses"
+WHOLE = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0",
+         "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_whole_licence_texts_and_sentences_in_comments(spark):
+    rows = [(i, f"{n}/LICENSE", open(f"{STANDARD}/{n}", errors="replace").read(), x) for i, (n, x) in enumerate(WHOLE.items()) if os.path.exists(f"{STANDARD}/{n}")]
+    notice = "\n * ".join(["/* This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+                           "the Free Software Foundation; either version 2 of the License, or", "(at your option) any later version. */"])
+    rows += [(100, "x/a.py", "# Copyright 2020 Acme. Released under the MIT License. And more words follow here.\ncode", "MIT"), (101, "y/a.py", notice, "GPL-2.0"),
+             (102, "z/a.py", "// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), (103, "v/a.py", "This work is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0")]
+    got = scan_licenses(spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")).collect()
+    assert {g.doc_id: g.license for g in got} == {r[0]: r[3] for r in rows}
+
+
+def test_licence_ties(spark):
+    mit, bsd = "Released under the MIT License.", "Released under the BSD 3-Clause License."
+    rows = [(1, "a/x.py", f"{mit}\n{bsd}"), (2, "b/LICENSE.z", mit), (3, "b/LICENSE.a", bsd), (4, "b/x.py", "code")]
+    got = {g.doc_id: (g.license, g.origin) for g in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[1] == ("BSD-3-Clause", "header") and got[4] == ("BSD-3-Clause", "inherited")  # first identifier; first path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 # The stop words of the index, and those that queries drop besides.
@@ -60,15 +62,24 @@ def anchored_weight(n_words: Column, start: Column, length: int) -> Column:
     )
 
 
+#: Seven-bit groups of a long.
+VBYTE_GROUPS = 9
+
+
 def vbyte_size(n: Column) -> Column:
-    return F.when(n < 1 << 7, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).otherwise(5)
+    """Groups that n takes; an error for a negative n."""
+    n = n.cast("long")
+    size = F.lit(1)
+    for i in range(1, VBYTE_GROUPS):
+        size = size + (n >= F.lit(1 << 7 * i).cast("long")).cast("int")
+    return F.when(n < 0, F.raise_error(F.lit("no byte code for a negative number")).cast("int")).otherwise(size)
 
 
 def vbyte_encode(n: Column) -> Column:
-    """Seven-bit groups, most significant first, the high bit on the last byte."""
-    size = vbyte_size(n)
-    return F.transform(F.sequence(size - 1, F.lit(0), F.lit(-1)),
-                       lambda i: (F.floor(n / F.pow(F.lit(128.0), i)).cast("long") % 128 + F.when(i == 0, 128).otherwise(0)).cast("int"))
+    """Seven-bit groups, most significant first, the high bit on the last byte; an error for a negative n."""
+    n = n.cast("long")
+    groups = [(F.shiftright(n, 7 * i) % 128 + (0 if i else 128)).cast("int") for i in range(VBYTE_GROUPS - 1, -1, -1)]
+    return F.slice(F.array(*groups), F.lit(VBYTE_GROUPS + 1) - vbyte_size(n), vbyte_size(n))
 
 
 def vbyte_decode(codes: Column) -> Column:
@@ -83,14 +94,27 @@ def vbyte_decode(codes: Column) -> Column:
     return F.aggregate(codes, empty, step, lambda acc: acc["out"])
 
 
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
 def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def unescape(text: Column) -> Column:
-    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(ch))
-    return text
+    """Character references resolved, each once: named ones of HTML 4 and numeric ones; a non-breaking space is a space.
+    What is no reference, or names no character, stays."""
+    named = {name: " " if name == "nbsp" else chr(c) for name, c in name2codepoint.items()}
+    known = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    parts, refs = F.split(text, _REFERENCE), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
+
+    def resolved(r: Column) -> Column:
+        code = F.when(F.lower(r).startswith("#x"), F.conv(F.substr(r, F.lit(3), F.lit(8)), 16, 10)).when(r.startswith("#"), F.substr(r, F.lit(2), F.lit(10))).cast("long")
+        fine = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(fine, F.when(code == 160, F.lit(" ")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.coalesce(char, F.element_at(known, r), F.concat(F.lit("&"), r, F.lit(";")))
+
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.zip_with(F.transform(refs, resolved), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda c, x: F.concat(c, x)), ""))).otherwise(text)
 
 
 def strip_blocks(html: Column) -> Column:
@@ -103,10 +127,11 @@ def html_text(html: Column) -> Column:
 
 
 def html_fields(html: Column) -> Column:
-    """Title, infobox and paragraphs, in that order. A paragraph ends at the next one, at </p> or at </article>."""
+    """Title, infobox tables and paragraphs, in that order, all of them. A paragraph ends at the next one, at </p> or at </article>."""
     body = strip_blocks(html)
-    infobox = F.regexp_extract(body, r'(?is)<table[^>]*class="[^"]*infobox[^"]*"[^>]*>(.*?)</table>', 1)
-    parts = F.slice(F.split(body, r"(?i)<p>"), 2, 1_000_000)
+    infobox = F.array_join(F.regexp_extract_all(body, F.lit(r"""(?is)<table[^>]*class=(?:"[^"]*|'[^']*|)\binfobox\b[^>]*>(.*?)</table>"""), F.lit(1)), " ")
+    pieces = F.split(body, r"(?i)<p(?:\s[^>]*)?>")
+    parts = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     paragraphs = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"(?is)(</p>|</article>).*$", "")), " ")
     whole = F.concat_ws(" ", html_title(html), infobox, paragraphs)
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(whole, "<[^>]*>", " ")), r"\s+", " "))
@@ -163,10 +188,10 @@ def grade_gain(grade: Column) -> Column:
     return out
 
 
-def crawl_wanted(text: Column, path: Column) -> Column:
+def crawl_wanted(text: Column, path: Column, words: tuple = CRAWL_WORDS) -> Column:
     """Pages about the country, other than those of the skipped name spaces."""
     about = F.lit(False)
-    for w in CRAWL_WORDS:
+    for w in words:
         about = about | text.contains(w)
     for w in CRAWL_SKIPPED:
         about = about & ~path.contains(w)

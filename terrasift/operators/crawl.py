@@ -19,9 +19,9 @@ def frontier(urls: DataFrame, tld: str = "") -> DataFrame:
     return (u.where(T.in_scope(F.col("url"), tld)) if tld else u).groupBy("url").agg(F.count(F.lit(1)).alias("visits"))
 
 
-def keep_pages(pages: DataFrame) -> DataFrame:
-    """Pages (url, html) whose text is wanted, with the file that they are saved as."""
-    return pages.where(T.crawl_wanted(T.html_text(F.col("html")), F.col("url"))).withColumn("file", T.url_file(F.col("url")))
+def keep_pages(pages: DataFrame, words: tuple = T.CRAWL_WORDS) -> DataFrame:
+    """Pages (url, html) whose text holds one of the words and whose path none of the skipped ones, with the file that they are saved as."""
+    return pages.where(T.crawl_wanted(T.html_text(F.col("html")), F.col("url"), words)).withColumn("file", T.url_file(F.col("url")))
 
 
 def duplicate_pages(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrasift.functions.text import grade_gain, grade_relevant
+from terrasift.sources.store import stored
 
 METRICS = {-1: "instructor", 0: "precision", 1: "recall", 2: "f_measure", 3: "eleven_point", 4: "average_precision", 5: "ndcg", 6: "reciprocal_rank", 7: "all"}
 CUTS = (1, 5, 10)
@@ -105,11 +106,8 @@ def _global_rank(df: DataFrame, by: str, name: str) -> DataFrame:
     """1..n by falling `by`, ties by doc, without one task for all rows: ranks within range
     partitions plus the number of rows in those before."""
     dealt = df.repartitionByRange(F.col(by).desc(), F.col("doc")).withColumn("__part", F.spark_partition_id())
-    dealt = dealt.cache()
+    dealt = stored(dealt, "rank-ranges")
     within = Window.partitionBy("__part").orderBy(F.col(by).desc(), "doc")
-    sizes = dict(dealt.groupBy("__part").count().collect())  # one row a partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__part"))
-    return dealt.withColumn(name, F.row_number().over(within) + shift).drop("__part")
+    sizes = dealt.groupBy("__part").count()  # a row a partition, so it may go to one task and to all of them
+    shift = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    return dealt.join(F.broadcast(shift), "__part").withColumn(name, F.row_number().over(within) + F.col("__before")).drop("__part", "__before")

@@ -18,17 +18,24 @@ NEAR_DISTANCE, NEAR_TOP = 50_000, 20
 NATION_ID = 6252001
 
 
+def first_rows(df: DataFrame, key: str) -> DataFrame:
+    """Of rows that repeat a key the first, in the order in which the table is read."""
+    cols = [c for c in df.columns if c != key]
+    first = df.withColumn("__at", F.monotonically_increasing_id()).groupBy(key).agg(F.min_by(F.struct(*cols), "__at").alias("__row"))
+    return first.select(*[F.col(key) if c == key else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
+
+
 def assemble(cities: DataFrame, counties: DataFrame, states: DataFrame, nation_name: str = "United States of America") -> DataFrame:
     """One table from the three files' rows. Of repeated ids the first counts. A city takes its
     county by code, else its state (as New York City does); the District of Columbia hangs on the nation."""
     spark = cities.sparkSession
-    st = states.dropDuplicates(["id"]).select(
+    st = first_rows(states, "id").select(
         F.col("id").cast("long").alias("id"), "name", "code", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    co = counties.dropDuplicates(["id"]).select(
+    co = first_rows(counties, "id").select(
         F.col("id").cast("long").alias("id"), "name", "code", T.state_code(F.col("code")).alias("state_code"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    s = st.select(F.col("code").alias("state_code"), F.col("id").alias("state_id"), F.col("name").alias("state_name")).dropDuplicates(["state_code"])
-    c = co.select(F.col("code").alias("county_code"), F.col("id").alias("county_id"), F.col("name").alias("county_name")).dropDuplicates(["county_code"])
-    ci = cities.dropDuplicates(["id"]).withColumn("county_code", T.admin2_code(F.col("admin1"), F.coalesce("admin2", F.lit("")))).withColumn(
+    s = st.select(F.col("code").alias("state_code"), F.col("id").alias("state_id"), F.col("name").alias("state_name")).groupBy("state_code").agg(F.min("state_id").alias("state_id"), F.min_by("state_name", "state_id").alias("state_name"))
+    c = co.select(F.col("code").alias("county_code"), F.col("id").alias("county_id"), F.col("name").alias("county_name")).groupBy("county_code").agg(F.min("county_id").alias("county_id"), F.min_by("county_name", "county_id").alias("county_name"))
+    ci = first_rows(cities, "id").withColumn("county_code", T.admin2_code(F.col("admin1"), F.coalesce("admin2", F.lit("")))).withColumn(
         "state_code", F.concat(F.lit("US."), F.col("admin1"))).join(c, "county_code", "left").join(s, "state_code", "left")
     none = F.lit(None)
     cols = lambda kind, **k: [F.col("id").cast("long").alias("id"), "name", F.lit(kind).alias("type"), k.get("population", none).cast("int").alias("population"),
@@ -56,21 +63,13 @@ def name_keys(geo: DataFrame) -> DataFrame:
     return geo.select(F.when(F.col("population").isNull() | (F.col("population") >= BIG_CITY), low).otherwise(F.concat_ws(" ", low, state)).alias("key"), "id")
 
 
-def is_within(a: DataFrame, child: str, parent: str) -> Column:
-    """child is parent itself or below it; both are aliases of gazetteer rows."""
-    p = F.col(f"{parent}.id")
-    return (F.col(f"{child}.id") == p) | (F.coalesce(F.col(f"{child}.county_id"), F.lit(-1)) == p) | (F.coalesce(F.col(f"{child}.state_id"), F.lit(-1)) == p) | (F.col(f"{child}.nation_id") == p)
-
-
 def resolve(candidates: DataFrame, geo: DataFrame) -> DataFrame:
     """candidates (query, ord, id): of a query whose candidates hold one another, only the first
-    that lies in another stays; other queries keep all."""
-    c = candidates.join(geo, "id")
-    inside = (
-        c.alias("a").join(c.select("query", "id", "county_id", "state_id", "nation_id").alias("b"), F.col("a.query") == F.col("b.query"))
-        .where((F.col("a.id") != F.col("b.id")) & is_within(c, "a", "b"))
-        .groupBy(F.col("a.query").alias("query")).agg(F.min("a.ord").alias("first"))
-    )
+    that lies in another stays; other queries keep all. Each candidate looks its own ancestors up
+    among its query's candidates: a few rows each, not all pairs of the query."""
+    above = F.array_distinct(F.filter(F.array("county_id", "state_id", "nation_id"), lambda x: x.isNotNull() & (x != F.col("id"))))
+    up = candidates.join(geo, "id").select("query", "ord", F.explode(above).alias("up"))
+    inside = up.join(candidates.select("query", F.col("id").alias("up")).distinct(), ["query", "up"]).groupBy("query").agg(F.min("ord").alias("first"))
     return candidates.join(inside, "query", "left").where(F.col("first").isNull() | (F.col("ord") == F.col("first"))).select("query", "ord", "id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from terrasift.functions.text import QUERY_STOP_WORDS, STOP_WORDS
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -84,8 +86,10 @@ BODY = r"regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!
 
 
 def unescaped(x: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, '{a}', '{b}')"
+    """Named references of HTML 4 and the apostrophe's number; & itself last."""
+    names = {n: chr(c) for n, c in name2codepoint.items() if n != "amp"} | {"nbsp": " ", "#39": "''", "amp": "&"}
+    for a, b in names.items():
+        x = f"replace({x}, '&{a};', '{b}')"
     return x
 
 
@@ -149,7 +153,7 @@ dsub as (select query || '/' || id as sub_id, 0 as ord, 'er' as token from dq un
  union all select distinct query, 0, 'er' from dq union all select distinct query, 1, split_part(query, ' ', 1) from dq)"""
 POSTING_BYTES = "pb as (select term, sum(vb(doc_id) + vb(tf) + ps)::bigint as bytes from (select term, doc_id, count(*) as tf, sum(vb(pos)) as ps from tok group by all) group by 1)".replace(
     "vb(doc_id)", "{d}").replace("vb(tf)", "{t}").replace("vb(pos)", "{p}")
-VB = lambda x: f"(case when {x} < 128 then 1 when {x} < 16384 then 2 when {x} < 2097152 then 3 when {x} < 268435456 then 4 else 5 end)"
+VB = lambda x: f"(case when {x} < 128 then 1 when {x} < 16384 then 2 when {x} < 2097152 then 3 when {x} < 268435456 then 4 when {x} < 34359738368 then 5 when {x} < 4398046511104 then 6 when {x} < 562949953421312 then 7 when {x} < 72057594037927936 then 8 else 9 end)"
 POSTING_BYTES = POSTING_BYTES.format(d=VB("doc_id"), t=VB("tf"), p=VB("pos"))
 URL = r"regexp_replace(url, '#.*$', '')"
 PHR = "ph as (select item_id as sub_id, b[1] as a, b[2] as b from bk where len(b) >= 2)"
@@ -170,7 +174,7 @@ select o_orderkey, n, array_to_string(list_transform(range(k - 1, -1, -1), lambd
     "mining_words": r"with a as (select doc_id, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z0-9\s]', '', 'g')), '\s+'), lambda z: z <> '') as ws from documents) select doc_id, len(ws)::int as n_words, len(list_distinct(ws))::int as n_distinct from a where len(ws) > 1",
     "anchored_ngrams": q(INDEX, "g as (select doc_id, pos, count(*) over (partition by doc_id) as n, term as t1, term || ' ' || lead(term) over w as t2, term || ' ' || lead(term) over w || ' ' || lead(term, 2) over w as t3 from tok window w as (partition by doc_id order by pos))",
                          *[f"m{k} as (select doc_id, t{k} as key, case when pos = 0 then greatest(0, least(3, n) - {k} + 1) when pos <= n - 3 then 1 else 0 end as x from g where t{k} is not null)" for k in (1, 2, 3)],
-                         select="select doc_id, key, sum(x)::bigint as cnt from (select * from m1 union all select * from m2 union all select * from m3) group by 1, 2 having sum(x) >= 3"),
+                         select="select doc_id, key, sum(x)::bigint as cnt from (select * from m1 union all select * from m2 union all select * from m3) group by 1, 2 having sum(x) > 0"),
     **{f"{s}_top10": q(INDEX, TWO, scored("two", s), top("scored", 10), select="select rank::int as rank, doc_id, score from ranked") for s in SCORERS},
     "bm25_boosted": q(INDEX, GEO, STATES, scored("sq", "bm25", "bst"), top("scored", 5), select="select sub_id, rank::int as rank, doc_id, score from ranked"),
     "query_strength": q(INDEX, BQ, scored("bq"), STRENGTH("scored"), select="select sub_id, n_hits, round(total, 6) as total, round(strength, 6) as strength from sm"),
@@ -186,8 +190,8 @@ select o_orderkey, n, array_to_string(list_transform(range(k - 1, -1, -1), lambd
                             "p as (select sub_id, token, round(n / sum(n) over (partition by sub_id), 6) as prob from s)", select="select sub_id, token, prob from p qualify row_number() over (partition by sub_id order by prob desc, token) <= 10"),
     "page_titles": f"select page_id, {TITLE} as title from pages",
     "page_text": rf"select page_id, trim(regexp_replace({unescaped(f'''regexp_replace({BODY}, '<[^>]*>', ' ', 'g')''')}, '\s+', ' ', 'g')) as text from pages",
-    "page_fields": rf"""with a as (select page_id, html, string_split_regex({BODY}, '(?i)<p>') as ps from pages),
-b as (select page_id, {TITLE} || ' ' || regexp_extract({BODY}, '(?is)<table[^>]*class="[^"]*infobox[^"]*"[^>]*>(.*?)</table>', 1) || ' ' || array_to_string(list_transform(ps[2:], lambda p: regexp_replace(p, '(?is)(</p>|</article>).*$', '')), ' ') as t from a)
+    "page_fields": rf"""with a as (select page_id, html, string_split_regex({BODY}, '(?i)<p(?:\s[^>]*)?>') as ps from pages),
+b as (select page_id, {TITLE} || ' ' || array_to_string(regexp_extract_all({BODY}, '(?is)<table[^>]*class="[^"]*\binfobox\b[^>]*>(.*?)</table>', 1), ' ') || ' ' || array_to_string(list_transform(ps[2:], lambda p: regexp_replace(p, '(?is)(</p>|</article>).*$', '')), ' ') as t from a)
 select page_id, trim(regexp_replace({unescaped("regexp_replace(t, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) as text from b""",
     "page_links": q(PAGES, select="select src, dst from pe"),
     "link_outdegree": q(PAGES, select="select src, count(*) as out_degree from pe group by 1"),
@@ -234,6 +238,15 @@ select page_id, trim(regexp_replace({unescaped("regexp_replace(t, '<[^>]*>', ' '
     "url_normalize": rf"select page_id, {URL} as url, regexp_extract({URL}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) as host, replace(regexp_replace(regexp_replace({URL}, '\?.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/?', ''), '/', '_') as file from pages",
     "url_frontier_counts": rf"select u as url, count(*) as visits from (select {URL} as u from pages) where regexp_matches(u, '^https?://[^\s/?#]+[^\s]*$') and contains(u, 'example.') group by 1",
     "crawl_filter": "select page_id, url from pages where not contains(url, 'Category') and not contains(url, 'Talk') and not contains(url, 'User') and not contains(url, 'File') and contains(url, 'example.')",
+    "crawl_content": rf"""with t as (select page_id, url, trim(regexp_replace({unescaped(f"regexp_replace({BODY}, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) as t from pages)
+select page_id, replace(regexp_replace(regexp_replace({URL}, '\?.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/?', ''), '/', '_') as file from t
+where (contains(t, 'tion') or contains(t, 'and')) and not contains(url, 'Category') and not contains(url, 'Talk') and not contains(url, 'User') and not contains(url, 'File')""",
+    "vbyte_large": f"with a as (select o_orderkey, (o_orderkey::hugeint * (7919::hugeint * 4294967296))::bigint % 4611686018427387905 + 3 as n from orders) select o_orderkey, {VB('n')}::int as size, true as back from a",
+    "wiki_urls": f"select page_id, 'https://en.wikipedia.org/wiki/page_' || page_id as url, lower(translate({TITLE} || ': Part 1', ' :', '__')) as redirect from pages",
+    "admin_codes": "with a as (select s_suppkey, lpad((s_nationkey % 100)::varchar, 2, '0') as a, case when s_suppkey % 7 = 0 then '' else (s_suppkey % 1000)::varchar end as b from supplier), c as (select s_suppkey, 'US.' || a || '.' || case when length(b) in (1, 2) then lpad(b, 3, '0') else b end as county from a) select s_suppkey, county, left(county, 5) as state from c",
+    "corpus_links": r"""with l as (select page_id::varchar as src, unnest(regexp_extract_all(html, 'href="/?([^ /#"]*)"', 1)) as dst from pages), n as (select distinct lower(regexp_extract(html, 'href="/?([^ /#"]*)"', 1)) as page from pages),
+k as (select page from n where page <> '' union select left(page, length(page) - 5) from n where page like '%.html')
+select distinct src, dst from l where dst <> '' and dst not like '.%' and src <> dst and dst in (select page from k)""",
     "grades": "select doc_id, case when quality = 1 and toxic = 0 then 1 else 0 end as relevant, case when quality = 1 and toxic = 0 and doc_id % 5 = 0 then 10 when quality = 1 and toxic = 0 then 7 when quality = 1 then 1 else 0 end as gain from labels",
     "membership_md5": "select d.doc_id, md5(d.text) as digest from documents d where md5(d.text) in (select md5(text) from documents join labels using (doc_id))",
     "text_result_lines": q(INDEX, TWO, scored("two"), top("scored", 10), select="select doc_id || chr(9) || title || chr(9) || printf('%.6f', score) || chr(9) || '0.0' || chr(9) || '0' as line from ranked join docs using (doc_id)"),

@@ -226,6 +226,38 @@ def crawl_filter(spark, sf):
     return p.where(keep).select("page_id", "url")
 
 
+def crawl_content(spark, sf):
+    """Whole pages by their text, as the crawler keeps them (the words are the test pages' own)."""
+    return crawl.keep_pages(O.table(spark, sf, "pages"), ("tion", "and")).select("page_id", "file")
+
+
+def vbyte_large(spark, sf):
+    """Numbers of up to nine groups, as hashed ids are."""
+    o = O.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * F.lit(7919 << 32) % F.lit((1 << 62) + 1) + 3).alias("n"))
+    return o.select("o_orderkey", T.vbyte_size(F.col("n")).alias("size"), (F.get(T.vbyte_decode(T.vbyte_encode(F.col("n"))), F.lit(0)) == F.col("n")).alias("back"))
+
+
+def wiki_urls(spark, sf):
+    """URLs of files and the file names that titles redirect to."""
+    p = _pages(spark, sf)
+    name = F.concat(F.lit("page_"), F.col("page_id").cast("string"))
+    return p.select("page_id", T.wiki_url(name).alias("url"), T.redirect_key(F.concat(T.html_title(F.col("html")), F.lit(": Part 1 - Wikipedia, the free encyclopedia"))).alias("redirect"))
+
+
+def admin_codes(spark, sf):
+    """Codes of counties with one, two and three digits or none, and their states'."""
+    s = O.table(spark, sf, "supplier").select("s_suppkey", F.lpad((F.col("s_nationkey") % 100).cast("string"), 2, "0").alias("a"), F.when(F.col("s_suppkey") % 7 == 0, "").otherwise((F.col("s_suppkey") % 1000).cast("string")).alias("b"))
+    code = T.admin2_code(F.col("a"), F.col("b"))
+    return s.select("s_suppkey", code.alias("county"), T.state_code(code).alias("state"))
+
+
+def corpus_links(spark, sf):
+    """Links whose target names a page of the corpus (pages named by their numbers, as links here name words)."""
+    p = _pages(spark, sf)
+    named = p.select(F.coalesce(F.lower(F.regexp_extract("html", r'href="/?([^ /#"]*)"', 1)), F.lit("")).alias("page"), "html").where("page <> ''")
+    return graph.page_edges(p.select(F.col("page_id").cast("string").alias("page"), "html"), T.RELAXED_LINK, named.select("page").distinct())
+
+
 def membership_md5(spark, sf):
     d = O.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
     added = O.table(spark, sf, "labels").select("doc_id").join(d, "doc_id").select("digest")
@@ -414,7 +446,7 @@ def queries() -> dict:
     plain = [corpus_stats, doc_lengths, term_df_ctf, vocab_top, positional_postings, vbyte_sizes, dictionary_by_size, shard_assignment, vbyte_roundtrip, stopword_share, mining_words, anchored_ngrams,
              bm25_boosted, query_strength, batch_bm25_top3, conjunctive_match, phrase_match, phrase_df_ctf, page_rank_top10, prf_terms, prf_document_terms, text_result_lines,
              page_titles, page_text, page_fields, page_links, link_outdegree, redirect_fold, pagerank_parity, pagerank_dense, pagerank_standard_2, spearman_ranks, spearman_standard, numviews,
-             url_normalize, url_frontier_counts, crawl_filter, membership_md5, precision_recall_at_k, f_measure, interp_pr_11pt, avg_precision_all_ranks, ndcg, reciprocal_rank, instructor_mean, grades,
+             url_normalize, url_frontier_counts, crawl_filter, crawl_content, vbyte_large, wiki_urls, admin_codes, corpus_links, membership_md5, precision_recall_at_k, f_measure, interp_pr_11pt, avg_precision_all_ranks, ndcg, reciprocal_rank, instructor_mean, grades,
              geo_hierarchy, geo_name_keys, county_population, geo_neighbors_50km, geo_neighbors_cap5, geo_neighbor_lines, geo_resolve, geo_uniqify, doc_place_tags, place_totals, place_suggestions, geojson_features,
              query_words, segment_scores, best_of_merge, expansion_qualify, disambiguate, porter_stem]
     found = {f"{s}_top10": _top10(s) for s in ("bm25", *(x for x in SCORERS if x != "bm25"))} | {f.__name__: f for f in plain}

@@ -106,8 +106,11 @@ def ranked_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def score_vector(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, score) from one number a line; doc grows with the line."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("doc"), F.col("value").cast("double").alias("score"))
+    """(doc, score) from one number a line; doc is the line's number among those that aren't blank, from 0. A file
+    is read as one piece, since lines can be numbered only in order; what is read is a number a document."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("whole"))
+    lines = F.filter(F.split("whole", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", "")) != "")
+    return raw.select(F.posexplode(lines).alias("doc", "value")).select(F.col("doc").cast("long").alias("doc"), F.trim(F.regexp_replace("value", "\r", "")).cast("double").alias("score"))
 
 
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:

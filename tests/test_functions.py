@@ -128,3 +128,44 @@ def test_cleaning_takes_the_stated_characters(spark):
     for made, pattern, put in ((T.index_clean, rf"[^A-Za-z0-9{ascii_space}]", " "), (T.mining_clean, rf"[^A-Za-z0-9{ascii_space}]", ""), (T.display_clean, r"[^A-Za-z0-9 ]", "")):
         expected = re.sub(pattern, put, every)
         assert df.select(made(F.col("text"))).first()[0] == (expected if made is T.display_clean else expected.lower())
+
+
+def test_pages_with_attributes_several_infoboxes_and_references(spark):
+    from terrasift.functions import text as T
+    html = ('<title>T &amp;lt;</title><table class="infobox vcard"><tr><td>one</td></tr></table><p class="a">&#233;t&#xE9; &copy; &nosuch; &#1114112; A&B; &</p>'
+            "<table class='infobox'>two</table><pre>no</pre><p>three</p><p\nid=x>four")
+    df = spark.createDataFrame([(html,), ("no references",), (None,)], "html string")
+    got = [r.t for r in df.select(T.html_fields(F.col("html")).alias("t")).collect()]
+    assert got[0] == "T &lt; one two été © &nosuch; &#1114112; A&B; & three four"
+    assert [r.t for r in df.select(T.unescape(F.col("html")).alias("t")).collect()][1:] == ["no references", None]
+
+
+def test_byte_codes_of_hashed_ids_and_of_negatives(spark):
+    from terrasift.functions import text as T
+    ns = [0, 127, 128, 2**35 - 1, 2**35, 2**36 + 3, 2**62 + 12345, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    got = df.select("n", T.vbyte_size(F.col("n")).alias("k"), T.vbyte_encode(F.col("n")).alias("c"), F.get(T.vbyte_decode(T.vbyte_encode(F.col("n"))), F.lit(0)).alias("back")).collect()
+    for r in got:
+        size = max(1, -(-r.n.bit_length() // 7))
+        assert r.k == len(r.c) == size and r.back == r.n and [x >= 128 for x in r.c] == [False] * (size - 1) + [True]
+    with pytest.raises(Exception, match="negative"):
+        spark.createDataFrame([(-5,)], "n long").select(T.vbyte_encode(F.col("n"))).collect()
+
+
+def test_first_of_repeated_ids_and_resolving(spark):
+    from terrasift.operators import geo as G
+    df = spark.createDataFrame([(i % 50, f"name{i}") for i in range(5000)], "id long, name string").coalesce(1)
+    assert {(r.id, r.name) for r in G.first_rows(df, "id").collect()} == {(i, f"name{i}") for i in range(50)}
+
+
+def test_command_line_evaluates_and_correlates(spark, tmp_path, capsys):
+    from terrasift.__main__ import main
+    (tmp_path / "o").write_text("".join(f"{k}:x\n" for k in readers.OPTION_KEYS))
+    (tmp_path / "r").write_text("q\t1\ta\nq\t2\tb\n")
+    (tmp_path / "j").write_text("q\t1\tPerfect\nq\t2\tBad\n")
+    (tmp_path / "x").write_text("3\n2\n\n1\n")
+    (tmp_path / "y").write_text("30\n20\n10\n")
+    main(["--options", str(tmp_path / "o"), "--mode", "evaluate", "--results", str(tmp_path / "r"), "--judgments", str(tmp_path / "j"), "--metric", "6"])
+    assert capsys.readouterr().out.split() == ["q", "1.0"]
+    main(["--options", str(tmp_path / "o"), "--mode", "spearman", "--x", str(tmp_path / "x"), "--y", str(tmp_path / "y"), "--out", str(tmp_path / "out")])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out"), sep="\t").collect()] == [("3", "1.0")]

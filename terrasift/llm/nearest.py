@@ -24,8 +24,8 @@ from .common import Table, mix64
 SHARD_ROWS = 32_768
 QUERY_BLOCK = 8192
 M, EF_BUILD, EF_SEARCH = 16, 56, 128
-#: Entries of a beam that are expanded at once, and queries and rows worked on side by side.
-EXPAND, SIDE = 8, 512
+#: Entries of a beam that are expanded at once, queries side by side, and entries linked side by side (a row of a shard's similarities each).
+EXPAND, SIDE, LINK_SIDE = 8, 512, 64
 
 
 class Graph:
@@ -52,8 +52,8 @@ class Graph:
             return flat
         y = x[at]
         src, dst, near = [], [], []
-        for a in range(0, n, SIDE):
-            s = y[a : a + SIDE] @ y.T
+        for a in range(0, n, LINK_SIDE):
+            s = y[a : a + LINK_SIDE] @ y.T
             line = np.arange(len(s))[:, None]
             s[line[:, 0], a + line[:, 0]] = -2
             cand = np.argpartition(s, -c, 1)[:, -c:]

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .bpe import ragged
 from .common import Table, mix64
 
 SHARD_ROWS = 32_768
@@ -181,7 +182,7 @@ def nearest_neighbours(df: DataFrame, k: int = 5, every: int = 50, id_col: str =
         count = np.bincount(which, minlength=len(whole))
         mixed = np.argsort(mix64(np.arange(1, len(whole) + 1, dtype=np.uint64)))  # insertion in an order unlike the sorted one
         start = np.cumsum(count) - count
-        ids = np.concatenate([ids[order][start[w] : start[w] + count[w]] for w in mixed])
+        ids = ids[order][ragged(start[mixed], count[mixed])]
         whole, count = whole[mixed], count[mixed]
         top = np.abs(whole).max(1, keepdims=True)
         unit = whole / top

@@ -13,6 +13,7 @@ licence file, and a file without its own takes the nearest ancestor directory's.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from math import log
 
@@ -103,7 +104,6 @@ VARIANTS = [
 
 
 def _words(text: str) -> list[str]:
-    import re
     return re.findall(WORD, text.lower())
 
 
@@ -112,12 +112,6 @@ LICENSING = "licen[cs]e|copyright|spdx|hereby|redistribution"
 REACH = max(len(_words(t)) for _, t in TEMPLATES)
 
 
-def window_shapes() -> list[tuple[int, int]]:
-    """(words before the licensing word, words in all) of every licensing word of every template."""
-    import re
-    return sorted({(j, len(w)) for _, t in TEMPLATES for w in [_words(t)] for j, x in enumerate(w) if re.search(LICENSING, x)})
-
-
 def named(licence: Column, words: Column) -> Column:
     out = F.lit(False)
     for x, pattern in NAMED.items():
@@ -146,16 +140,31 @@ def window_contexts(texts: DataFrame) -> DataFrame:
     return at.select("row", F.explode(F.array_distinct(around)).alias("c")).select("row", "c.context", "c.hit")
 
 
+def adding(weights: Column):
+    return lambda total, term: total + F.element_at(weights, term)
+
+
 def windows() -> Column:
-    """Of a context: its windows by the templates' shapes."""
+    """Of a context: for each template and licensing word of it the window as long as the template, with the licensing word
+    at the same place, where it can reach the threshold. A cosine is at most the root of the share of the template's squared
+    weight that lies on words of the window, so what is left out here could not score THRESHOLD against that template."""
     w = F.split("context", " ")
-    cut = [F.array_join(F.slice(w, F.greatest(F.col("hit") - j, F.lit(0)) + 1, F.least(F.lit(n), F.col("hit") - j + n)), " ") for j, n in window_shapes()]
-    return F.filter(F.array_distinct(F.array(*cut)), lambda x: x.rlike("|".join(NAMED.values())))
+    weight: dict[int, dict[str, float]] = {}
+    for i, _, term, x in template_terms()[0]:
+        weight.setdefault(i, {})[term] = x * x
+    cut = []
+    for i, (_, text) in enumerate(TEMPLATES):
+        own, n = F.create_map(*[F.lit(v) for kv in weight[i].items() for v in kv]), len(_words(text))
+        terms = F.array(*[F.lit(t) for t in weight[i]])
+        for j in (j for j, x in enumerate(_words(text)) if re.search(LICENSING, x)):
+            box = F.slice(w, F.greatest(F.col("hit") - j, F.lit(0)) + 1, F.least(F.lit(n), F.col("hit") - j + n))
+            share = F.aggregate(F.array_intersect(box, terms), F.lit(0.0), adding(own))
+            cut.append(F.when(share >= THRESHOLD * THRESHOLD - 1e-6, F.array_join(box, " ")))
+    return F.filter(F.array_distinct(F.array(*cut)), lambda x: x.isNotNull() & x.rlike("|".join(NAMED.values())))
 
 
 def template_terms() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template number, licence, term, unit weight) rows, idf by term, and idf of any other term."""
-    import re
     bags = [Counter(re.findall(WORD, t.lower())) for _, t in TEMPLATES]
     n = len(bags)
     df = Counter(w for b in bags for w in b)

@@ -45,13 +45,12 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.when(u <= F.exp(-rate), F.lit(0)).otherwise(found)
 
 
-def poisson_count(seed: str, ident: Column, rate: Column) -> Column:
-    """A Poisson draw at any rate, the same for one seed and ident."""
+def poisson_count(first: Column, seed: str, ident: Column, rate: Column) -> Column:
+    """A Poisson draw at any rate; `first` is the uniform number of seed and ident, a column of its own so that it is made once."""
     parts = F.greatest(F.ceil(rate / MAX_DRAWN_RATE), F.lit(1)).cast("int")
-    first = uniform(F.lit(seed), ident)
     later = lambda j: poisson_inverse(uniform(F.lit(seed), ident, j.cast("string")), rate / parts)
     rest = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda n, j: n + later(j))
-    return poisson_inverse(first, rate / parts) + F.when(parts > 1, rest).otherwise(F.lit(0))
+    return F.when(rate > MAX_DRAWN_RATE, poisson_inverse(first, rate / parts) + rest).otherwise(poisson_inverse(first, rate))
 
 
 def source_rates(df: DataFrame, weights: dict[str, float] | None, source_col: str, budget: float, other: float = 0.0) -> tuple[DataFrame, int, float]:
@@ -79,13 +78,13 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, budget:
     """
     names = mixed_columns(df)
     cols = keep_columns or df.columns
-    src, rate, ident, n, copy, key = (free_name(df, f"__{x}") for x in ("src", "rate", "id", "n", "copy", "key"))
+    src, rate, ident, u, n, copy, key = (free_name(df, f"__{x}") for x in ("src", "rate", "id", "u", "n", "copy", "key"))
     rates, n_sources, top = source_rates(df, weights, source_col, budget, other)
     rates = rates.select(F.col("src").alias(src), F.col("rate").alias(rate))
     body = df.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias(src),
                      F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias(ident))
     rated = body.join(F.broadcast(rates) if n_sources <= BROADCAST_SOURCES else rates, src)
-    drawn = rated.withColumn(n, poisson_count(seed, F.col(ident), F.col(rate))).where(F.col(n) > 0)
+    drawn = rated.withColumn(u, uniform(F.lit(seed), F.col(ident))).withColumn(n, poisson_count(F.col(u), seed, F.col(ident), F.col(rate))).where(F.col(n) > 0)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     upto = F.col(n)
     if top > COPIES_A_TASK:

@@ -122,7 +122,7 @@ def test_one_document_of_a_heavy_source_is_copied_by_many_tasks(spark, monkeypat
 def test_columns_named_like_the_inner_ones(spark):
     df = spark.createDataFrame([(i, "t", "s", "a", i) for i in range(30)], SCHEMA)
     want = sorted(r.doc_id for r in mixing.mix_sources(df, None).collect())
-    for name in ("__src", "__rate", "__id", "__n", "__copy", "__key"):
+    for name in ("__src", "__rate", "__u", "__n", "__copy", "__key"):
         out = mixing.mix_sources(df.withColumnRenamed("rn", name), None)
         assert name in out.columns and sorted(r.doc_id for r in out.collect()) == want
         assert all(r[name] == r.doc_id for r in out.collect())

@@ -5,7 +5,10 @@
    shares none with probability (1 - s**ROWS)**BANDS, 1.3e-7 at 0.8 and less above. Members of
    a bucket are linked to its least node only, which keeps the edges linear in the input, and
    the connected components of those edges hold every candidate pair.
-3. A component's nodes are compared in blocks of bounded size. MinHash values are compared in
+   A component of several blocks is compared bucket by bucket instead of as a whole where that
+   deals fewer rows: a chain of weakly similar texts then costs a row for each bucket a node is
+   in, however long it is. A pair counts in the first band it shares, so no pair counts twice.
+3. The nodes of such a group are compared in blocks of bounded size. MinHash values are compared in
    steps; a pair is dropped as soon as the posterior probability (uniform prior) that its
    similarity reaches the threshold falls below TOLERANCE. What remains is verified exactly on
    the shingle sets, whose words are compared in full. A block gives a row for each node (its number of links and the least node
@@ -113,8 +116,9 @@ def _sets(texts: pa.Array, n: int):
     return exact_shingles(word, row, len(offs) - 1, n), signatures(s, r, len(offs) - 1)
 
 
-def _links(sets: list, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of positions (i in left, j in right); with `same`, i before j of one list."""
+def _links(sets: list, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of positions (i in left, j in right); with `same`, i before j of one list.
+    With a band of 0 or more, only pairs whose first shared band that is."""
     need = least_matches(threshold, TOLERANCE)
     eq = np.zeros((len(left), len(right)), np.int16)
     for k in range(STEP):
@@ -127,6 +131,11 @@ def _links(sets: list, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, sa
     a, b = np.nonzero(ok)
     m = eq[a, b].astype(np.int64)
     a, b = left[a], right[b]
+    if band >= 0:
+        keys = band_keys(sigs)
+        for k in range(band + 1):
+            keep = (keys[a, k] == keys[b, k]) == (k == band)
+            a, b, m = a[keep], b[keep], m[keep]
     for n in range(2 * STEP, HASHES + 1, STEP):
         if not len(a):
             break
@@ -196,7 +205,7 @@ def _block(table: pa.Table, n: int, threshold: float) -> pa.RecordBatch:
     copies = table.column("copies").to_numpy()
     sets, sigs = _sets(table.column("text").combine_chunks(), n)
     every = np.arange(len(node))
-    a, b = _links(sets, sigs, every if same else every[left], every if same else every[~left], same, threshold)
+    a, b = _links(sets, sigs, every if same else every[left], every if same else every[~left], same, threshold, int(table.column("band")[0].as_py()))
     links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
     texts = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
     return pa.RecordBatch.from_arrays(
@@ -204,6 +213,26 @@ def _block(table: pa.Table, n: int, threshold: float) -> pa.RecordBatch:
         ["node", "links", "text_links", "root"])
 
 
+def _groups(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What is compared with what: component, band, key, blocks, node, copies. A component is one group (band -1), or,
+    where that deals fewer rows, one for each bucket of two nodes or more. Only components of several blocks are looked into."""
+    wide = (
+        member.where("blocks > 1").join(nodes.select("node", "bands"), "node")
+        .select("component", "node", "copies", "size", "blocks", F.posexplode("bands").alias("band", "key"))
+    )
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    buckets = Table(wide.groupBy("component", "band", "key").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("n > 1"), "buckets").df
+    whole = member.where("blocks > 1").groupBy("component").agg(F.sum("blocks").alias("whole"))
+    cheaper = Table(
+        buckets.groupBy("component").agg(F.sum(F.col("n") * F.col("parts")).alias("apart")).join(whole, "component")
+        .where("apart < whole").select("component"), "by-bucket").df
+    one = member.join(cheaper, "component", "left_anti").select(
+        "component", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), "blocks", "node", "copies")
+    many = wide.join(cheaper, "component", "left_semi").join(buckets, ["component", "band", "key"]).select(
+        "component", "band", "key", F.col("parts").alias("blocks"), "node", "copies")
+    return one.unionByName(many)
+
+
 def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id (the least id of all that links and copies reach),
     n_links (other rows at or above the threshold, copies with them), n_copies (rows with the
@@ -256,23 +285,24 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
     member = Table(member.join(sizes.df, "component"), "members")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # The hint keeps the plan alike at all sizes: texts are dealt once, by id, and only members' go on.
-    dealt = src.join(member.df.select("node", "copies", "component", "blocks").hint("shuffle_hash"), src["doc_id"] == F.col("node"))
+    dealt = src.join(_groups(member.df, nodes.df).hint("shuffle_hash"), src["doc_id"] == F.col("node"))
     dealt = (
         dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        .select("component", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                 (F.col("own") <= F.col("other")).alias("in_left"), (F.col("own") == F.col("other")).alias("same"), "node", "copies", "text")
     )
-    dealt = dealt.repartition(shuffled, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    block = ["component", "band", "key", "i", "j"]
+    dealt = dealt.repartition(shuffled, *block).sortWithinPartitions(*block, "node")
 
     def compare(batches):
         held, key = [], None
         for batch in batches:
-            c = [batch.column(k).to_numpy() for k in (0, 1, 2)]
+            c = [batch.column(k).to_numpy() for k in range(len(block))]
             if not len(c[0]):
                 continue
-            cut = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in c], axis=0)) + 1
             for a, b in zip([0, *cut], [*cut, len(c[0])]):
-                at = (c[0][a], c[1][a], c[2][a])
+                at = tuple(x[a] for x in c)
                 if held and at != key:
                     yield _block(pa.Table.from_batches(held), n, threshold)
                     held = []

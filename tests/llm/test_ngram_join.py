@@ -71,6 +71,28 @@ def test_small_blocks_agree(spark, monkeypatch):
     assert {g.doc_id: (g.class_id, g.n_links) for g in got} == brute(rows)
 
 
+def test_chains_are_compared_by_bucket(spark, monkeypatch):
+    """A chain of overlapping texts is one component; what is dealt grows with its length, and results are all pairs'."""
+    import terrasift.llm.ngram_join as m
+    monkeypatch.setattr(m, "BLOCK_NODES", 4)
+    dealt, groups = [], m._groups
+
+    def counting(member, nodes):
+        found = groups(member, nodes)
+        dealt.append(found.selectExpr("sum(blocks)", "min(band)").first())
+        return found
+
+    monkeypatch.setattr(m, "_groups", counting)
+    r = random.Random(3)
+    stream = [f"w{r.randrange(10**6)}" for _ in range(2600)]
+    for n in (120, 240):
+        rows = [(k, " ".join(stream[k * 10 : k * 10 + 110])) for k in range(n)]
+        got = m.similar_classes(spark.createDataFrame([(*x, "x") for x in rows], SCHEMA)).collect()
+        assert {g.doc_id: (g.class_id, g.n_links) for g in got} == brute(rows)
+    (small, _), (large, band) = dealt
+    assert band >= 0 and large < 2.3 * small
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, " \n", None), (None, "one two three four five six", "a"), (4, "a b", "b"), (5, "A  b", "b"),
             (6, "one two three four five six", "a"), (6, "one two three four five six", "a"), (7, "x" * 200_000, "a")]

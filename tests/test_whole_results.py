@@ -54,3 +54,11 @@ def test_licences_inside_longer_lines_and_close_variants(spark):
     rows = [(i, f"d{i}/a.txt", t) for i, t in enumerate(LICENCES)]
     got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == dict(enumerate(LICENCES.values()))
+
+
+def test_vbyte_large_of_keys_whose_product_leaves_a_long(spark, tmp_path):
+    keys = [1, 7, 271_171, 271_172, 900_000, 9_000_001, 1 << 40]
+    d = folder(spark, tmp_path, "orders", [(k,) for k in keys], "o_orderkey long")
+    got = {r.o_orderkey: (r.size, r.back) for r in catalog.queries()["vbyte_large"](spark, d).collect()}
+    n = {k: k * (7919 << 32) % ((1 << 62) + 1) + 3 for k in keys}
+    assert got == {k: (max(1, -(-n[k].bit_length() // 7)), True) for k in keys}

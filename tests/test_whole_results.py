@@ -62,3 +62,12 @@ def test_vbyte_large_of_keys_whose_product_leaves_a_long(spark, tmp_path):
     got = {r.o_orderkey: (r.size, r.back) for r in catalog.queries()["vbyte_large"](spark, d).collect()}
     n = {k: k * (7919 << 32) % ((1 << 62) + 1) + 3 for k in keys}
     assert got == {k: (max(1, -(-n[k].bit_length() // 7)), True) for k in keys}
+
+
+def test_gazetteer_needs_no_index(spark, tmp_path):
+    import shutil
+
+    from terrasift.plans import overlay as O
+    d = shutil.copytree("/root/testdata/sf0.001", tmp_path / "t")
+    assert catalog.queries()["county_population"](spark, str(d)).count() and O.gazetteer(spark, str(d)).count() > 25
+    assert [k for k in O._kept if k[1] == str(d)] == [(spark.sparkContext.applicationId, str(d), "geo")]

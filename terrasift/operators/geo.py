@@ -111,17 +111,42 @@ def expand(candidates: DataFrame, geo: DataFrame, near: DataFrame | None, most:
 
 
 def neighbours(cities: DataFrame, distance: float = NEAR_DISTANCE, top: int = NEAR_TOP) -> DataFrame:
-    """(id, near_id, rank): other cities within `distance` in x and y's units, the most populous
-    first. Each city looks only into the nine grid cells around its own."""
+    """(id, near_id, rank): other cities within `distance` in x and y's units, the most populous first; id is a key.
+    Each city goes to the nine grid cells around its own. A cell's cities walk down its candidates by population,
+    some at a time, until they have `top`: no pair is made that is not compared then, and only results are rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    limit = float(distance) ** 2
     at = lambda c: F.floor(F.col(c) / F.lit(float(distance)))
-    a = cities.select("id", "x", "y", at("x").alias("gx"), at("y").alias("gy"))
     steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = a.withColumn("s", F.explode(steps)).select("id", "x", "y", (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"))
-    b = cities.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), "population", at("x").alias("gx"), at("y").alias("gy"))
-    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    pairs = a.join(b, ["gx", "gy"]).where((F.col("id") != F.col("near_id")) & (d2 <= float(distance) ** 2))
-    w = Window.partitionBy("id").orderBy(F.desc_nulls_last("population"), "near_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("id", "near_id", "rank")
+    dealt = cities.where("x is not null and y is not null").select("id", "x", "y", "population", at("x").alias("gx"), at("y").alias("gy"), F.explode(steps).alias("s")).select(
+        "id", "x", "y", "population", (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
+    names = ["id", "near_id", "rank"]
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.take(pc.sort_indices(cell, sort_keys=[("population", "descending"), ("id", "ascending")], null_placement="at_end"))
+        ids, x, y = (cell[c].to_numpy() for c in ("id", "x", "y"))
+        left = np.flatnonzero(cell["own"].to_numpy(zero_copy_only=False))  # cities that have fewer than `top` so far
+        have = np.zeros(len(ids), "int64")
+        out: list[tuple] = []
+        start, size = 0, 64
+        while len(left) and start < len(ids):
+            to = slice(start, start + size)
+            for q in np.array_split(left, -(-len(left) * size // 1_000_000)):
+                dx, dy = x[q, None] - x[None, to], y[q, None] - y[None, to]
+                hit = (dx * dx + dy * dy <= limit) & (ids[q, None] != ids[None, to])
+                n = have[q, None] + np.cumsum(hit, axis=1)
+                have[q] = n[:, -1]
+                i, j = np.nonzero(hit & (n <= top))
+                out.append((ids[q[i]], ids[start + j], n[i, j].astype("int32")))
+            left = left[have[left] < top]
+            start, size = start + size, min(2 * size, 4096)
+        parts = [np.concatenate(c) if out else np.zeros(0, t) for c, t in zip(zip(*out) if out else [()] * 3, ("int64", "int64", "int32"))]
+        return pa.table([pa.array(c, t) for c, t in zip(parts, (pa.int64(), pa.int64(), pa.int32()))], names=names)
+
+    return dealt.groupBy("gx", "gy").applyInArrow(run, "id long, near_id long, rank int")
 
 
 def grams_of_words(words: DataFrame) -> DataFrame:

@@ -190,3 +190,20 @@ def test_server(engine):
     assert "zoo" in urlopen(f"{base}/prf?query=zoo").read().decode()
     assert urlopen(f"{base}/other").read().decode() == "Only /search is handled!"
     s.shutdown()
+
+
+def test_neighbours_of_a_crowd(spark):
+    """Against all pairs, with crowded and lonely cells, ties and unknown populations; no pairs pass between stages."""
+    import random
+    rnd = random.Random(5)
+    spot = lambda i: (rnd.randrange(40_000), rnd.randrange(40_000)) if i % 3 else (rnd.randrange(-400_000, 400_000), rnd.randrange(-400_000, 400_000))
+    rows = [(i, *spot(i), rnd.choice([None, 5, 5, 80, 900])) for i in range(700)]
+    cities = spark.createDataFrame(rows, "id long, x long, y long, population int")
+    by = sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+    for top in (5, 20):
+        want = {(a[0], b[0], k) for a in rows for k, b in enumerate([b for b in by if b[0] != a[0] and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 50_000 ** 2][:top], 1)}
+        near = G.neighbours(cities, top=top)
+        assert {(r.id, r.near_id, r["rank"]) for r in near.collect()} == want
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    assert G.neighbours(cities.limit(0)).collect() == []

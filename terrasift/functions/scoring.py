@@ -33,6 +33,13 @@ def bm25(c: dict[str, Column]) -> Column:
     return F.lit(BM25_K + 1) * c["tf"] / (length + c["tf"]) * idf(c["n_docs"], c["df"]) * c["boost"]
 
 
+def bm25_values(tf, num_words, df, n_docs: float):
+    """bm25 of arrays, without boosts."""
+    import numpy as np
+    length = BM25_K * (1 - BM25_B + BM25_B * num_words / BM25_LENGTH)
+    return (BM25_K + 1) * tf / (length + tf) * (np.log(n_docs / df + 1.0) + 1.0) ** 2
+
+
 SCORERS: dict[str, Callable[[dict[str, Column]], Column]] = {"cosine": cosine, "tfidf": tfidf, "lucene_tfidf": lucene_tfidf, "bm25": bm25}
 
 

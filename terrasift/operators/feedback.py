@@ -16,6 +16,9 @@ def query_term_probabilities(index: Index, results: DataFrame, queries: DataFram
 
 def document_term_probabilities(index: Index, results: DataFrame, top: int = 10) -> DataFrame:
     """The same over all terms of the documents."""
+    if index.words is not None:
+        terms = index.words.join(results.select("sub_id", "doc_id"), "doc_id").select("sub_id", F.explode("words").alias("token"))
+        return _shares(terms.groupBy("sub_id", "token").agg(F.count(F.lit(1)).alias("n")), top)
     hits = index.frequencies.join(results.select("sub_id", "doc_id"), "doc_id")
     return _shares(hits.groupBy("sub_id", F.col("term").alias("token")).agg(F.sum("tf").alias("n")), top)
 

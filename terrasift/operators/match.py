@@ -10,6 +10,8 @@ from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from terrasift.functions import text as T
+
 from .index import Index
 
 #: Query tables up to this many words are broadcast (they are counted first); larger ones shuffle.
@@ -35,11 +37,30 @@ def query_frame(spark: SparkSession, queries: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, f"sub_id {kind}, ord int, token string")
 
 
+def string_starts(index: Index, asked: DataFrame) -> DataFrame:
+    """asked (key, n_words) of single words and phrases to (key, doc_id), a row for each start in the documents' words.
+    Strings are made inside their document, only of the lengths that are asked for, and looked up by one hash each."""
+    keys = asked.distinct()
+    listed = [tuple(r) for r in keys.limit(LISTED_WORDS + 1).collect()]
+    few = len(listed) <= LISTED_WORDS
+    lengths = sorted({n for _, n in listed} if few else {r[0] for r in keys.select("n_words").distinct().collect()})
+    strings = F.concat(*[F.col("words") if n == 1 else T.ngrams(F.col("words"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    starts = index.words.select("doc_id", F.explode(strings).alias("key"))
+    if few:
+        return starts.where(F.col("key").isin([k for k, _ in listed]))
+    small = keys.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    return starts.join(F.broadcast(keys.select("key")) if small else keys.select("key"), "key")
+
+
 def token_hits(index: Index, queries: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """(sub_id, ord, token, n_words, doc_id, tf) wherever a token occurs. tf counts every start of a phrase."""
     words = queries.select("sub_id", "ord", "token", F.split("token", " ").alias("w"))
     if stop is not None:
         words = words.withColumn("w", F.filter("w", lambda x: ~x.isin(stop)))
+    if index.words is not None:
+        asked = words.select("sub_id", "ord", "token", F.size("w").alias("n_words"), F.array_join("w", " ").alias("key")).where("n_words > 0")
+        hits = string_starts(index, asked.select("key", "n_words")).groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+        return asked.join(hits, "key").select("sub_id", "ord", "token", "n_words", "doc_id", "tf")
     words = words.select("sub_id", "ord", "token", F.size("w").alias("n_words"), F.posexplode("w").alias("j", "term"))
     asked = [r[0] for r in words.select("term").distinct().limit(LISTED_WORDS + 1).collect()]
     singles, phrases = index.frequencies, index.occurrences

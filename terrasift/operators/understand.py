@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from terrasift.functions.text import QUERY_STOP_WORDS
 
 from .index import Index
-from .match import frequencies, query_frame, token_hits
+from .match import frequencies, query_frame, string_starts, token_hits
 
 MAX_SEGMENT = 3
 RARE = 50
@@ -117,7 +117,10 @@ def segment_batch(index: Index, queries: DataFrame) -> DataFrame:
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_SEGMENT)), lambda n: F.transform(
         F.when(F.size("terms") >= n, F.sequence(F.lit(1), F.size("terms") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("terms", i, n), " "))))
     strings = terms.select(F.explode(spans).alias("token")).distinct().select(F.xxhash64("token").alias("sub_id"), F.lit(0).alias("ord"), "token")
-    counts = token_hits(index, strings).groupBy("token").agg(F.sum("tf").alias("ctf"))
+    if index.words is not None:
+        counts = string_starts(index, strings.select(F.col("token").alias("key"), F.size(F.split("token", " ")).alias("n_words"))).groupBy(F.col("key").alias("token")).agg(F.count(F.lit(1)).alias("ctf"))
+    else:
+        counts = token_hits(index, strings).groupBy("token").agg(F.sum("tf").alias("ctf"))
     asked = terms.select("sub_id", "terms", F.explode(spans).alias("token")).join(counts, "token", "left")
     rows = asked.groupBy("sub_id", "terms").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.coalesce("ctf", F.lit(0))).alias("ctfs"))
 

@@ -207,3 +207,32 @@ def test_neighbours_of_a_crowd(spark):
         plan = near._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Window" not in plan
     assert G.neighbours(cities.limit(0)).collect() == []
+
+
+def test_document_index_and_its_lookups(spark):
+    """Against the index by terms: counts, phrases, strengths; and no row a query and document is shuffled."""
+    import random
+
+    from terrasift.operators import feedback
+    from terrasift.operators.index import document_index
+    from terrasift.operators.understand import segment_batch
+    rnd = random.Random(8)
+    words = "er lake ohio mill pond the".split()
+    source = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(14)))) for i in range(60)] + [(90, None), (91, "lone")], "doc_id long, text string")
+    old, new = build_index(source), document_index(source)
+    rows = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+    for table in ("docs", "occurrences", "frequencies", "terms", "stats"):
+        assert rows(getattr(old, table)) == rows(getattr(new, table))
+    asked = [["lake"], ["lake ohio", "er"], ["er", "mill", "mill"], ["ohio ohio ohio"], ["er", "nowhere"], ["pond", "er", "lake"], ["er", "lake", "pond"]]
+    q = M.query_frame(spark, list(enumerate(asked)))
+    hits = lambda ix: M.token_hits(ix, q).select("sub_id", "ord", "token", "n_words", "doc_id", "tf")
+    assert rows(hits(old)) == rows(hits(new)) and rows(hits(new))
+    assert rows(segment_batch(old, q.where("token not like '% %'"))) == rows(segment_batch(new, q.where("token not like '% %'")))
+    top = R.top_k(R.score(new, q), 3)
+    assert rows(feedback.document_term_probabilities(old, top)) == rows(feedback.document_term_probabilities(new, top))
+    for part in (q, q.where("token not like '% %'")):
+        cols = ("sub_id", "n_hits", "total", "norm", "strength")
+        assert rows(R.strengths(new, part).select(*cols)) == rows(R.sums(R.score(old, part)).select(*cols))
+    many = spark.createDataFrame([(f"{s}", i, t) for s in range(500) for i, t in enumerate(("er", "lake"))], "sub_id string, ord int, token string")
+    got = R.strengths(new, many)
+    assert got.count() == 500 and "doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()

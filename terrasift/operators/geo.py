@@ -16,6 +16,8 @@ MIN_COUNT = 3
 SUGGEST_BASE, SUGGEST_LEAST, SUGGEST_TOP = 0.05, 10.0, 10
 NEAR_DISTANCE, NEAR_TOP = 50_000, 20
 NATION_ID = 6252001
+#: Up to this many distinct names are broadcast (they are counted first).
+BROADCAST_NAMES = 200_000
 
 
 def first_rows(df: DataFrame, key: str) -> DataFrame:
@@ -195,6 +197,52 @@ def place_tags(counts: DataFrame, geo: DataFrame, least: int = MIN_COUNT) -> Dat
     return many.withColumn("states", states).where("type in ('STATE', 'NATION') or array_contains(states, state_id)").select("doc_id", "geo_id", "cnt")
 
 
+#: Columns of a class of places: those of one name that are tagged in the same documents, namely under one state, or (free) anywhere.
+CLASS = ["key", "free", "state_id"]
+
+
+def place_classes(names: DataFrame, geo: DataFrame) -> DataFrame:
+    """(geo_id, key, free, state_id, type). A place has one name (of several rows with its id, the least); those that no state can vouch for are left out."""
+    known = names.groupBy(F.col("id").alias("geo_id")).agg(F.min("key").alias("key"))
+    free = F.col("type").isin("STATE", "NATION")
+    rows = known.join(geo.select(F.col("id").alias("geo_id"), "type", "state_id"), "geo_id")
+    return rows.select("geo_id", "key", free.alias("free"), F.when(free, F.lit(0).cast("long")).otherwise(F.col("state_id")).alias("state_id"), "type").where("state_id is not null")
+
+
+def key_counts(grams: DataFrame, places: DataFrame, least: int = MIN_COUNT) -> DataFrame:
+    """(doc_id, key, cnt) of the places' names that a document has at least `least` times."""
+    keys = places.select("key").distinct()
+    small = keys.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    return _keys(grams, False).join(F.broadcast(keys) if small else keys, "key").groupBy("doc_id", "key").agg(F.sum("x").alias("cnt")).where(F.col("cnt") >= least)
+
+
+def class_tags(counts: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, key, free, state_id, cnt): place_tags() by class, each of which stands for all its places."""
+    states = counts.join(places.where("type = 'STATE'").select("key", F.col("geo_id").alias("state_id")), "key").select("doc_id", "state_id").distinct()
+    rows = counts.join(places.select(*CLASS).distinct(), "key")
+    bound = rows.where("not free").join(states, ["doc_id", "state_id"], "left_semi")
+    return rows.where("free").select("doc_id", *CLASS, "cnt").unionByName(bound.select("doc_id", *CLASS, "cnt"))
+
+
+def tags_of_classes(tags: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, geo_id, cnt): each class's places are one list, and rows fan out last, after all shuffles and sorts."""
+    lists = places.groupBy(*CLASS).agg(F.collect_list("geo_id").alias("ids"))
+    return tags.join(lists, CLASS).select("doc_id", F.explode("ids").alias("geo_id"), "cnt")
+
+
+def class_totals(tags: DataFrame) -> DataFrame:
+    return tags.groupBy(*CLASS).agg(F.sum("cnt").alias("total"))
+
+
+def suggest_classes(matches: DataFrame, tags: DataFrame, places: DataFrame, least: float = SUGGEST_LEAST, top: int = SUGGEST_TOP) -> DataFrame:
+    """suggest() by class: its places weigh the same, so only the `top` least ids of each can be among the best."""
+    found = matches.select("sub_id", "doc_id").distinct().join(tags, "doc_id").groupBy("sub_id", *CLASS).agg(F.sum("cnt").alias("cnt"))
+    weighed = found.join(class_totals(tags), CLASS).select("sub_id", *CLASS, F.round(F.col("cnt") * (SUGGEST_BASE + 1.0 / F.col("total")), 6).alias("weight")).where(F.col("weight") > least)
+    first = places.withColumn("k", F.row_number().over(Window.partitionBy(*CLASS).orderBy("geo_id"))).where(F.col("k") <= top).select("geo_id", *CLASS)
+    w = Window.partitionBy("sub_id").orderBy(F.desc("weight"), "geo_id")
+    return weighed.join(first, CLASS).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("sub_id", "rank", "geo_id", "weight")
+
+
 def place_totals(tags: DataFrame) -> DataFrame:
     return tags.groupBy("geo_id").agg(F.sum("cnt").alias("total"))
 

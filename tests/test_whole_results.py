@@ -71,3 +71,29 @@ def test_gazetteer_needs_no_index(spark, tmp_path):
     d = shutil.copytree("/root/testdata/sf0.001", tmp_path / "t")
     assert catalog.queries()["county_population"](spark, str(d)).count() and O.gazetteer(spark, str(d)).count() > 25
     assert [k for k in O._kept if k[1] == str(d)] == [(spark.sparkContext.applicationId, str(d), "geo")]
+
+
+def test_documents_are_dealt_by_size_and_counted_without_another_shuffle(spark, monkeypatch):
+    from terrasift.plans import overlay as O
+    few = O.dealt(spark, "/root/testdata/sf0.001").rdd.getNumPartitions()
+    monkeypatch.setattr(O, "DEALT_BYTES", 1 << 12)
+    assert O.dealt(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 2 * few
+    plan = catalog.queries()["positional_postings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_tags_by_class_equal_tags_by_place(spark):
+    from terrasift.operators import geo as G
+    rows = [(1, "ohio", "STATE", None, 1), (2, "iowa", "STATE", None, 2), (3, "lake", "COUNTY", None, 1), (9, "usa", "NATION", None, None), (8, "lake", "CITY", 900_000, None)]
+    rows += [(100 + i, "lake", "CITY", 900_000, 1 + i % 2) for i in range(30)] + [(200, "ohio", "CITY", 900_000, 2)]
+    geo = spark.createDataFrame([(*r, "s" if r[4] else "") for r in rows], "id long, name string, type string, population int, state_id long, state_name string")
+    texts = {1: "ohio lake " * 3, 2: "lake " * 5, 3: "iowa lake usa " * 4, 4: "ohio iowa lake " * 3, 5: "ohio ohio lake lake lake"}
+    grams = G.grams_of_words(spark.createDataFrame([(i, t.split()) for i, t in texts.items()], "doc_id long, words array<string>")).cache()
+    names, out = G.name_keys(geo), lambda df: sorted(map(tuple, df.collect()))
+    tags = G.place_tags(G.place_counts(grams, names), geo)
+    places = G.place_classes(names, geo)
+    by_class = G.class_tags(G.key_counts(grams, places), places)
+    assert by_class.count() < tags.count() and out(tags) == out(G.tags_of_classes(by_class, places))
+    assert out(G.place_totals(tags)) == out(G.class_totals(by_class).join(places, G.CLASS).select("geo_id", "total"))
+    m = spark.createDataFrame([(s, d) for s in (7, 8) for d in range(1, 6 - s % 2)], "sub_id long, doc_id long")
+    assert out(G.suggest(m, tags, 0.01, 5)) == out(G.suggest_classes(m, by_class, places, 0.01, 5)) != []

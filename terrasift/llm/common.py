@@ -123,6 +123,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text that a kernel takes at once where many workers share an executor's memory: its arrays have some 50 bytes a byte.
+PART_BYTES = 1 << 18
+
+
 def text_parts(column: pa.Array, limit: int = 1 << 20):
     """Yields (first row, bytes as uint8, offsets) over runs of rows of about `limit` bytes;
     nulls are empty. Rows are never cut."""

@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import distinct
-from .common import LOWER, SPACE, Table, connected_components, free_name, mix64, saved, shingles, text_parts, words
+from .common import LOWER, PART_BYTES, SPACE, Table, connected_components, free_name, mix64, saved, shingles, text_parts, words
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 STEP = 20
 TOLERANCE = 1e-9
 BLOCK_NODES, BLOCK_BYTES = 512, 1 << 21
+#: Candidate pairs whose MinHash values are compared at once.
+PAIRS = 1 << 15
 _rng = np.random.Generator(np.random.PCG64(77))
 _MUL = _rng.integers(0, 2**32, (HASHES, 2), dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -109,11 +111,17 @@ def exact_shingles(word: np.ndarray, row: np.ndarray, n_rows: int, n: int) -> li
 
 def _sets(texts: pa.Array, n: int):
     """Sorted distinct shingles of each text, exact, and signatures."""
-    _, data, offs = next(text_parts(texts, 1 << 62))
-    h, start, end, row = words(data, offs)
-    s, r = shingles(h, row, len(offs) - 1, n)
-    word = distinct(LOWER[data], start, end - start, h)[1] if len(h) else h.astype(np.int64)
-    return exact_shingles(word, row, len(offs) - 1, n), signatures(s, r, len(offs) - 1)
+    found, sigs, lower, before = [], [], [], 0
+    for at, data, offs in text_parts(texts, PART_BYTES):
+        h, start, end, row = words(data, offs)
+        s, r = shingles(h, row, len(offs) - 1, n)
+        sigs.append(signatures(s, r, len(offs) - 1))
+        found.append((h, start + before, end - start, row + at))
+        lower.append(LOWER[data])
+        before += len(data)
+    h, start, size, row = (np.concatenate(x) for x in zip(*found))
+    word = distinct(np.concatenate(lower), start, size, h)[1] if len(h) else h.astype(np.int64)
+    return exact_shingles(word, row, len(texts), n), np.concatenate(sigs)
 
 
 def _links(sets: list, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -136,12 +144,18 @@ def _links(sets: list, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, sa
         for k in range(band + 1):
             keep = (keys[a, k] == keys[b, k]) == (k == band)
             a, b, m = a[keep], b[keep], m[keep]
-    for n in range(2 * STEP, HASHES + 1, STEP):
-        if not len(a):
-            break
-        m = m + (sigs[a, n - STEP : n] == sigs[b, n - STEP : n]).sum(1)
-        keep = m >= need[n]
-        a, b, m = a[keep], b[keep], m[keep]
+    likely = []
+    for at in range(0, len(a), PAIRS):
+        p, q, same_values = a[at : at + PAIRS], b[at : at + PAIRS], m[at : at + PAIRS]
+        for n in range(2 * STEP, HASHES + 1, STEP):
+            if not len(p):
+                break
+            same_values = same_values + (sigs[p, n - STEP : n] == sigs[q, n - STEP : n]).sum(1)
+            keep = same_values >= need[n]
+            p, q, same_values = p[keep], q[keep], same_values[keep]
+        likely.append((p, q))
+    if likely:
+        a, b = (np.concatenate(x) for x in zip(*likely))
     t = Fraction(str(threshold))
     fits = t.denominator * np.minimum(size[a], size[b]) >= t.numerator * np.maximum(size[a], size[b])
     a, b = a[fits], b[fits]
@@ -245,7 +259,7 @@ def similar_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: s
         for batch in batches:
             ids = batch.column(0)
             same, size, bands = [], [], []
-            for at, data, offs in text_parts(batch.column(1)):
+            for at, data, offs in text_parts(batch.column(1), PART_BYTES):
                 h, start, end, row = words(data, offs)
                 s, r = shingles(h, row, len(offs) - 1, n)
                 keys = band_keys(signatures(s, r, len(offs) - 1))

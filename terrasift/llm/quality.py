@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BYTE_VALUE, SPACE, free_name, mix64, powers, saved, text_parts
+from .common import BYTE_VALUE, PART_BYTES, SPACE, free_name, mix64, powers, saved, text_parts
 from .mixing import uniform
 
 BUCKETS = 10_000
@@ -75,7 +75,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in batches:
             good = np.asarray(batch.column(1))
-            for at, data, offs in text_parts(batch.column(0)):
+            for at, data, offs in text_parts(batch.column(0), PART_BYTES):
                 b, row = features(data, offs)
                 raw += np.bincount(b, minlength=BUCKETS)
                 target += np.bincount(b[good[at + row]], minlength=BUCKETS)
@@ -99,7 +99,7 @@ def scorer(ratio: np.ndarray):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for at, data, offs in text_parts(texts):
+        for at, data, offs in text_parts(texts, PART_BYTES):
             b, row = features(data, offs)
             n = len(offs) - 1
             out[at : at + n] = np.bincount(row, ratio[b], n)

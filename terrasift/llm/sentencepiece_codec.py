@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Merges, distinct, merge_rounds, ragged
-from .common import BYTE_VALUE, mix64, powers, text_parts
+from .common import BYTE_VALUE, PART_BYTES, mix64, powers, text_parts
 
 SPACE_MARK = "▁"
 _NORMAL, _BYTE = 1, 6
@@ -187,7 +187,7 @@ def encode_documents(df: DataFrame, model: str, id_col: str = "doc_id", text_col
         for batch in batches:
             text = batch.column(1)
             n_all, a_all, b_all, ids_all = [], [], [], []
-            for _, data, offs in text_parts(text):
+            for _, data, offs in text_parts(text, 2 * PART_BYTES):
                 ids, counts = c.encode_part(data, offs)
                 ends = np.cumsum(counts)
                 wide = ids.astype("<u4")

@@ -122,3 +122,53 @@ def test_words_that_a_polynomial_hash_cannot_tell_apart(spark):
     assert {g.doc_id: (g.class_id, g.n_copies) for g in got} == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (1, 2)}
     clash = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("class_id", "__gone")
     assert sorted(r.doc_id for r in near_dedup(clash).collect()) == [1, 2, 3, 4]
+
+
+def _peak(run):
+    """Most bytes that numpy and Python held at once beyond what they held before, and the result."""
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        got = run()
+        return tracemalloc.get_traced_memory()[1], got
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_takes_little_more_than_its_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    import terrasift.llm.ngram_join as N
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 12))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(vocab, k=550)) for _ in range(1000)] + ["", "one two", "x" * 300_000]
+    size = sum(map(len, texts))
+    N._sets(pa.array(texts[:2]), 5)
+    peak, (sets, sigs) = _peak(lambda: N._sets(pa.array(texts, pa.string()), 5))
+    assert peak < 20 * size, (peak, size)  # taken whole, one array of positions alone has 8 bytes a byte
+    assert [len(s) for s in sets[-3:]] == [0, 1, 1]
+    for i in (0, 500, 999):
+        w = texts[i].split()
+        assert len(sets[i]) == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+        assert (sigs[i] == N._sets(pa.array([texts[i]]), 5)[1][0]).all()
+
+    n = 1024  # all pairs are candidates and all of them are links
+    same, one = [np.arange(50)] * n, np.repeat(sigs[:1], n, 0)
+    half = np.arange(n // 2)
+    peak, (a, b) = _peak(lambda: N._links(same, one, half, half + n // 2, False, 0.8))
+    assert len(a) == len(b) == (n // 2) ** 2 and len(set(zip(a.tolist(), b.tolist()))) == len(a)
+    assert peak < 40e6, peak
+
+
+def test_words_are_compared_in_pieces(monkeypatch):
+    import numpy as np
+
+    from terrasift.llm import bpe
+    rng = random.Random(6)
+    words = [rng.choice(["ab", "cd", "abc", "x" * 40, "y" * 40]).encode() for _ in range(500)]
+    lens = np.array([len(w) for w in words])
+    for pieces in (1, 64, 1 << 18):
+        monkeypatch.setattr(bpe, "COMPARED", pieces)
+        one, which = bpe.distinct(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lens) - lens, lens, np.zeros(500, np.uint64))
+        assert [words[one[i]] for i in which] == words and len(one) == len(set(words))
